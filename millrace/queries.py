@@ -1,0 +1,6 @@
+"""The engine's own queries by name and the SQL each is held against."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
