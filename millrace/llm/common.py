@@ -100,3 +100,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
         .limit(bound)
     )
     return docs.join(F.broadcast(picked), "doc_id")
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, marked for broadcast if its count, which is taken, shows that it has at most ``rows`` rows."""
+    return F.broadcast(df) if df.count() <= rows else df

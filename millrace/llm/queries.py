@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from millrace.llm.decontaminate import op1_decontaminate
 from millrace.llm.near_dups import op3_minhash_near_dedup
 from millrace.llm.quality import op9_quality
 from millrace.llm.token_counts import op2_token_counts
 from millrace.llm.toxicity import op10_toxicity
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_token_counts": op2_token_counts,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op9_quality": op9_quality,
