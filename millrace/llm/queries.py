@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from millrace.llm.decontaminate import op1_decontaminate
 from millrace.llm.near_dups import op3_minhash_near_dedup
+from millrace.llm.pii import op7_pii
 from millrace.llm.quality import op9_quality
 from millrace.llm.token_counts import op2_token_counts
 from millrace.llm.toxicity import op10_toxicity
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_token_counts": op2_token_counts,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op7_pii": op7_pii,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
 }
