@@ -7,9 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import id_text, scratch
+from millrace.llm.common import id_text, scratch, small
+from millrace.llm.decontaminate import contaminated
+from millrace.llm.mixing import mixed
+from millrace.llm.near_dups import near_duplicates
+from millrace.llm.pii import find_pii, fit_pii, redacted
 from millrace.llm.quality import fit_quality, quality_scorer
 
+#: Up to so many ids (8 bytes each) are broadcast to take documents out; more of them meet the documents by a shuffle.
+BROADCAST_IDS = 2_000_000
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -19,7 +25,36 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.where(quality_scorer(model)(F.coalesce("text", F.lit(""))) >= 0.5)
 
 
-STAGES: list[tuple[str, Stage]] = [("quality", quality)]
+def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    path = scratch(docs.sparkSession, f"pipeline-{name}-ids")
+    ids.select("doc_id").distinct().write.parquet(path)
+    return docs.join(small(docs.sparkSession.read.parquet(path), BROADCAST_IDS), "doc_id", "left_anti").select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicates the document with the smallest id stays."""
+    return _without(docs, near_duplicates(docs).where("not kept"), "near")
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, or its template, go."""
+    return _without(docs, contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "leaks")
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind; every document stays."""
+    model = fit_pii(id_text(docs))
+    found = find_pii(docs.withColumn("text", F.coalesce("text", F.lit(""))), model)
+    out = found.withColumn("text", redacted(F.col("text"), F.col("all_spans"))).withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with its place in the mix of sources."""
+    return mixed(docs, carry=("text", "lang", "n_chars"))
+
+
+STAGES: list[tuple[str, Stage]] = [("quality", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("private", private), ("mix", mix)]
 ORACLE_SQL = None
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from millrace.llm.decontaminate import op1_decontaminate
+from millrace.llm.mixing import op4_mix_sources
 from millrace.llm.near_dups import op3_minhash_near_dedup
 from millrace.llm.pii import op7_pii
 from millrace.llm.quality import op9_quality
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_token_counts": op2_token_counts,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_mix_sources": op4_mix_sources,
     "op7_pii": op7_pii,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
