@@ -7,6 +7,7 @@ from millrace.llm.mixing import op4_mix_sources
 from millrace.llm.near_dups import op3_minhash_near_dedup
 from millrace.llm.pii import op7_pii
 from millrace.llm.quality import op9_quality
+from millrace.llm.substrings import op6_substring_dedup
 from millrace.llm.token_counts import op2_token_counts
 from millrace.llm.toxicity import op10_toxicity
 
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_mix_sources": op4_mix_sources,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_pii": op7_pii,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
