@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from millrace.llm.decontaminate import op1_decontaminate
+from millrace.llm import embedding_dups
 from millrace.llm.mixing import op4_mix_sources
 from millrace.llm.near_dups import op3_minhash_near_dedup
 from millrace.llm.pii import op7_pii
@@ -16,10 +17,11 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_mix_sources": op4_mix_sources,
+    "op5_embedding_near_dedup": embedding_dups.op5_embedding_near_dedup,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_pii": op7_pii,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_embedding_near_dedup": embedding_dups.SQL}
