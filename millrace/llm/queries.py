@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from millrace.llm.decontaminate import op1_decontaminate
 from millrace.llm import embedding_dups
+from millrace.llm.decontaminate import op1_decontaminate
+from millrace.llm.html_text import op8_html_text
 from millrace.llm.mixing import op4_mix_sources
 from millrace.llm.near_dups import op3_minhash_near_dedup
 from millrace.llm.pii import op7_pii
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_embedding_near_dedup": embedding_dups.op5_embedding_near_dedup,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_pii": op7_pii,
+    "op8_html_text": op8_html_text,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
 }
