@@ -1,15 +1,19 @@
 """MinHash near-duplicates (operator 3): ProbMinHash, banding, exact verification, connected classes.
 
-A document is the weighted set of its five-word shingles, a weight being how often the shingle occurs (a text of one
-to four words is one shingle).  ProbMinHash lets every shingle send points of a Poisson process whose rate is its
+A document is the weighted set of its five-word shingles, a shingle that occurs c times weighing 1 + ln c, so that one
+phrase repeated at length doesn't drown the rest (a text of one to four words is one shingle).  ProbMinHash lets every shingle send points of a Poisson process whose rate is its
 weight into ``BANDS * ROWS`` registers and stops once no later point can win; two documents agree in a register with
 the probability of their probability Jaccard similarity.  Documents that agree in a whole band are candidates, and a
 candidate is a link when its exact probability Jaccard, which is the plain Jaccard where no shingle repeats, is 0.8 or
 more.  A class is a connected component of links.
 
 Exact copies are merged before anything is compared.  In each band bucket all members are compared with the smallest
-id, then with the largest, and where a bucket still holds several classes every pair across them is compared: no
-candidate link between classes is lost, and a bucket of thousands of copies costs one comparison a member.
+id.  Where a bucket then still holds several classes, sketches are held against each other across them, block by
+block: first each member's ``NEAREST`` most similar others are verified, then, across the classes that are left,
+everything that can still be a link.  A pair can't be one if its registers agree too seldom (by over 4.5 standard
+deviations), or if a bitmap of the shingles shows too large a difference (a sure bound).
+So no candidate link that could join two classes is lost, a bucket of thousands of copies costs few comparisons a
+member, and no group is expanded into all pairs or held in one task.
 
 Results: one row per row of the table with the smallest doc_id of its class.  Texts without words (null, empty, blank)
 and rows without an id link with nothing; rows that repeat an id are one document; other columns are not read.
@@ -28,6 +32,7 @@ from millrace.llm import words as W
 from millrace.llm.common import components, id_text, materialise, table
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 32, 6
+NEAREST, BLOCK, BITS = 2, 512, 2048
 SLICE, SLICE_TEXTS = 2 << 20, 2048
 U = np.uint64
 
@@ -55,6 +60,10 @@ def shingles(raw: np.ndarray, at: np.ndarray, size: int = SHINGLE) -> tuple[np.n
     return text[where], key[where], np.diff(np.append(where, len(key)))
 
 
+def damped(count: np.ndarray) -> np.ndarray:
+    return 1 + np.log(count)
+
+
 def prob_min_hash(text: np.ndarray, key: np.ndarray, weight: np.ndarray, n: int, registers: int) -> np.ndarray:
     """The element that won each register of each of ``n`` texts (ProbMinHash with early termination)."""
     best = np.full(n * registers, np.inf)
@@ -78,15 +87,33 @@ def prob_min_hash(text: np.ndarray, key: np.ndarray, weight: np.ndarray, n: int,
     return out.reshape(n, registers)
 
 
-def band_keys(raw: np.ndarray, at: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit key for each band of each text, and whether the text has words at all."""
+def band_keys(raw: np.ndarray, at: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A 64-bit key for each band of each text, a sketch (bitmap, sizes, band keys, a byte a register), and whether the text has words at all."""
     n = len(at) - 1
     text, key, weight = shingles(raw, at)
-    won = prob_min_hash(text, key, weight, n, bands * rows).reshape(n, bands, rows)
+    won = prob_min_hash(text, key, damped(weight), n, bands * rows).reshape(n, bands, rows)
     out = np.tile(np.arange(1, bands + 1, dtype=U), (n, 1))
     for r in range(rows):
         out = W.mix(out * U(0xD6E8FEB86659FD93) + won[:, :, r])
-    return out, np.bincount(text, minlength=n) > 0
+    size = np.bincount(text, minlength=n)
+    bits = np.zeros((n, BITS), bool)
+    bits[text, (key % U(BITS)).astype(np.int64)] = True
+    extra = np.bincount(text, weights=damped(weight), minlength=n) - size
+    sizes = np.stack([size, extra], axis=1).astype(np.float32).view(np.uint8)
+    agreed = (W.mix(won) >> U(56)).astype(np.uint8).reshape(n, -1)
+    return out, np.hstack([np.packbits(bits, axis=1), sizes, out.astype(np.uint32).view(np.uint8), agreed]), size > 0
+
+
+def can_link(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Of rows of sketches whether the pairs may be links: bits that differ are shingles that differ.
+
+    With S shingles in both texts together, D of them in one only, and weights that exceed 1 by E in all, J_P is at
+    most (S - D + 2E) / (S + D); D is at least the number of bits that differ.
+    """
+    sizes = [x[:, BITS // 8 : BITS // 8 + 8].copy().view(np.float32).astype(float) for x in (a, b)]
+    apart = np.bitwise_count(a[:, : BITS // 8] ^ b[:, : BITS // 8]).sum(1)
+    both, extra = (sizes[0] + sizes[1]).T
+    return both - apart + 2 * extra >= (similarity - 1e-4) * (both + apart)
 
 
 def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> float:
@@ -117,10 +144,10 @@ def _pack(raw: np.ndarray, at: np.ndarray) -> list[bytes]:
 
 
 def _unpack(b: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and counts of a packed text; counts are left out where all are 1."""
+    """Keys and weights of a packed text; counts are left out where all are 1."""
     n = int.from_bytes(b[:4], "little")
     key = np.frombuffer(b, U, n, 4)
-    return key, np.frombuffer(b, np.uint32, n, 4 + 8 * n) if len(b) > 4 + 8 * n else np.ones(n, np.uint32)
+    return key, damped(np.frombuffer(b, np.uint32, n, 4 + 8 * n)) if len(b) > 4 + 8 * n else np.ones(n)
 
 
 def _slices(at: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -136,14 +163,15 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
         for b in batches:
             raw, at = W.buffers(b.column(1))
             for lo, hi in _slices(at):
-                keys, some = band_keys(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], bands, rows)
+                keys, sketch, some = band_keys(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], bands, rows)
                 flat = pa.array(keys[some].view(np.int64).ravel())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, bands, dtype=np.int32)), flat)
                 part = b.slice(lo, hi - lo).filter(pa.array(some))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), lists], ["doc_id", "tkey", "bands"])
+                bytes_ = pa.array([x.tobytes() for x in sketch[some]], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), lists, bytes_], ["doc_id", "tkey", "bands", "sketch"])
 
     keyed = docs.where("doc_id is not null").withColumn("tkey", F.unhex(F.md5("text")))
-    return keyed.mapInArrow(run, "doc_id long, tkey binary, bands array<long>")
+    return keyed.mapInArrow(run, "doc_id long, tkey binary, bands array<long>, sketch binary")
 
 
 def packed_shingles(docs: DataFrame) -> DataFrame:
@@ -174,44 +202,92 @@ def _verify(pairs: DataFrame, shingled: DataFrame, similarity: float) -> DataFra
     return pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def _across(label: DataFrame, similarity: float, bands: int, rows: int, nearest: int | None) -> DataFrame:
+    """Pairs (a, b) of a bucket's members in different classes whose sketches come near enough, or the nearest of them.
+
+    ``label`` has key, rep, c (class), n (members of the bucket) and sketch.  A bucket of over ``BLOCK`` members is
+    dealt into blocks, and each pair of blocks is a group of its own.
+    """
+    keys, head, registers = BITS // 8 + 8, BITS // 8 + 8 + 4 * bands, bands * rows
+    least = similarity - 4.5 * (similarity * (1 - similarity) / registers) ** 0.5
+    label = label.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = label.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "c", "sketch")
+
+    def group(key, own, rep, c, sketch):
+        left = right = np.flatnonzero(own == own.min())
+        if own.max() != own.min():
+            right = np.flatnonzero(own == own.max())
+        for lo in range(0, len(left), 64):
+            rows = left[lo : lo + 64]
+            near = (sketch[rows][:, None, head:] == sketch[right][None, :, head:]).mean(2)
+            near[c[rows][:, None] == c[right][None, :]] = -1
+            if nearest is None or nearest >= near.shape[1]:
+                x, y = np.nonzero(near >= least)
+            else:
+                top = np.argpartition(-near, nearest - 1, axis=1)[:, :nearest]
+                x, y = np.repeat(np.arange(len(rows)), nearest), top.ravel()
+                good = near[x, y] >= least
+                x, y = x[good], y[good]
+            good = can_link(sketch[rows[x]], sketch[right[y]], similarity)
+            if nearest is None and left is right:
+                good &= rows[x] < right[y]
+            if nearest is None:  # a pair that shares several buckets is reported in the first
+                of_x, of_y = (sketch[z][:, keys:head].copy().view(np.uint32) for z in (rows[x], right[y]))
+                shared = of_x == of_y
+                good &= of_x[np.arange(len(x)), shared.argmax(1)] == np.uint32(key & 0xFFFFFFFF)
+            a, b = rep[rows[x[good]]], rep[right[y[good]]]
+            yield np.minimum(a, b), np.maximum(a, b)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for b in _with_end(batches):
+            t = rest if b is None else pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
+            if t is None or not t.num_rows:
+                continue
+            ids = [t.column(k).to_numpy() for k in ("key", "i", "j")]
+            cut = np.flatnonzero(np.any([x[1:] != x[:-1] for x in ids], axis=0)) + 1
+            edges = [0, *cut.tolist(), *([t.num_rows] if b is None else [])]
+            own, rep, c = (t.column(k).to_numpy() for k in ("own", "rep", "c"))
+            sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(t.num_rows, head + registers)
+            out = [p for x, y in zip(edges[:-1], edges[1:]) for p in group(int(ids[0][x]), own[x:y], rep[x:y], c[x:y], sketch[x:y])]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[k] for p in out])) for k in (0, 1)], ["a", "b"])
+            rest = t.slice(edges[-1])
+
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
+
+
+def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
 def near_duplicates(
     docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """doc_id, class_id (smallest id of the class), kept (the row carries that id) for every row."""
     docs = id_text(docs, id_col, text_col)
     signed = materialise(signatures(docs, bands, rows))
-    reps = materialise(signed.groupBy("tkey").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
+    reps = materialise(signed.groupBy("tkey").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
     member = reps.select("rep", F.explode("bands").alias("key"))
-    shared = member.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("least"), F.max("rep").alias("most")).where("n > 1")
-    bucket = materialise(member.join(shared, "key").select("key", "rep", "least", "most"))
+    shared = member.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("least")).where("n > 1")
+    bucket = materialise(member.join(shared, "key").select("key", "rep", "least"))
 
     # Texts move once, and only those that share a band with another one go on.
     shingled = materialise(packed_shingles(docs.join(bucket.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])))
 
-    links = pairs = None
-    for turn in ("least", "most", "across"):
-        if turn == "least":
-            new = bucket.where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b"))
-        else:
-            found = components(links)
-            label = bucket.join(found, bucket["rep"] == found["node"], "left").select("key", "rep", "most", F.coalesce("component", "rep").alias("c"))
-            several = label.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-            label = label.join(several, "key")
-            x, y = label.alias("x"), label.alias("y")
-            if turn == "most":
-                y = label.where("rep = most").alias("y")
-                on = (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c"))
-            else:
-                on = (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c"))
-            ends = (F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
-            new = x.join(y, on).select(*ends)
-        new = new.distinct()
-        new = materialise(new if pairs is None else new.join(pairs, ["a", "b"], "left_anti"))
-        if turn != "least" and new.isEmpty():
-            break
-        held = _verify(new, shingled, similarity)
-        links = materialise(held if links is None else links.union(held))
-        pairs = new if pairs is None else pairs.union(new)
+    new = materialise(bucket.where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct())
+    links, tried = materialise(_verify(new, shingled, similarity)), new
+    for nearest in (NEAREST, None):
+        found = components(links)
+        label = bucket.join(found, bucket["rep"] == found["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
+        several = label.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+        label = label.join(several.select("key", "n"), "key").join(reps.select("rep", "sketch"), "rep")
+        new = materialise(_across(label, similarity, bands, rows, nearest).distinct().join(tried, ["a", "b"], "left_anti"))
+        if new.isEmpty():
+            continue
+        links, tried = materialise(links.union(_verify(new, shingled, similarity))), tried.union(new)
     found = components(links)
     classed = reps.join(found, reps["rep"] == found["node"], "left").select("tkey", F.coalesce("component", "rep").alias("class_id"))
     # An id that carries several texts is one document: its classes are one.
