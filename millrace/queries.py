@@ -2,5 +2,321 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.functions import text as T
+from millrace.operators import farm, folds, gate, prescreen, rates, registry
+from millrace.plans.timeline import decisions
+from millrace.schema import posts, replies, table
+from millrace.sources.html_posts import page_records
+
+#: Keyword lists up to this length are held against each text as it is read.
+KEYWORDS = 2000
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: Pieces of the SQL side: posts and the normalizers, written for DuckDB.
+_POSTS = "posts AS (SELECT doc_id AS id, source AS handle, left(text, 280) AS text, lang, doc_id AS seq FROM documents)"
+_CLASS = r"[^\x{3400}-\x{9FFF}\x{3040}-\x{30FF}a-z0-9]"
+
+
+def _farm(x: str) -> str:
+    return f"regexp_replace(lower({x}), '{_CLASS}', '', 'g')"
+
+
+def _lines(x: str) -> str:
+    return f"list_filter(list_transform(regexp_split_to_array({x}, '[\\n\\r!?;]+'), lambda x: {_farm('x')}), lambda x: x <> '')"
+
+
+def _grams(x: str) -> str:
+    return f"CASE WHEN length({x}) < 3 THEN [{x}] ELSE list_distinct(list_transform(generate_series(1, length({x}) - 2), lambda i: substring({x}, i, 3))) END"
+
+
+_KEYS = f"keys AS (SELECT id, handle, seq, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '') AS k FROM (SELECT *, {_lines('text')} AS l FROM posts)), keyed AS (SELECT id, handle, seq, k AS farm_key FROM keys WHERE length(k) >= 8)"
+_REPLIES = "replies AS (SELECT conv_id AS thread_id, turn, role AS handle, text, turn = 0 AS thread_root, conv_id * 1000 + turn AS seq FROM conversations)"
+_ANSWERS = (
+    "(id * 37 % 101) / 100.0::DOUBLE AS adult, (id * 53 % 101) / 100.0::DOUBLE AS solicitation, (id * 71 % 101) / 100.0::DOUBLE AS deceptive, (id * 13 % 31) / 10.0::DOUBLE AS severity, "
+    "(id * 29 % 101) / 100.0::DOUBLE AS confidence, ['adult_porn', 'adult_solicitation', 'scam', 'ordinary', 'other'][id % 5 + 1] AS category, CASE WHEN id % 4 <> 0 THEN (id * 17 % 101) / 100.0::DOUBLE END AS junk"
+)
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+@query("SELECT doc_id, md5(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS normal FROM documents")
+def normalize_text(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(T.normalize_text(F.col("text"))).alias("normal"))
+
+
+@query("SELECT doc_id, md5(lower(regexp_replace(text, '[^\\x{3400}-\\x{9FFF}\\x{3040}-\\x{30FF}a-z0-9]', '', 'g'))) AS dense FROM documents")
+def dense_text(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(T.dense_text(F.col("text"))).alias("dense"))
+
+
+@query(f"WITH {_POSTS}, {_KEYS} SELECT id, farm_key FROM keyed")
+def farm_keys(spark, d):
+    return posts(spark, d).select("id", T.farm_key(F.col("text")).alias("farm_key")).where("farm_key is not null")
+
+
+@query(
+    f"SELECT doc_id, len(l) - len(list_distinct(l)) > 0 AS repeats FROM (SELECT doc_id, list_filter({_lines('text')}, lambda x: length(x) >= 8) AS l FROM documents)"
+)
+def repeated_lines(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.repeated_line(F.col("text")).alias("repeats"))
+
+
+@query(
+    "SELECT DISTINCT source, printf('%08x', list_reduce(list_prepend(2166136261::BIGINT, list_transform(generate_series(1, length(source)), lambda i: ascii(substring(source, i, 1))::BIGINT)), "
+    "lambda h, u: (xor(h, u) * 16777619) & 4294967295)) AS hash FROM documents"
+)
+def fnv_hash(spark, d):
+    return table(spark, d, "documents").select("source").distinct().select("source", T.fnv1a(F.col("source")).alias("hash"))
+
+
+@query(f"WITH {_POSTS} SELECT id, len({_grams('t')}) AS grams FROM (SELECT id, {_farm('text')} AS t FROM posts)")
+def shingle_count(spark, d):
+    return posts(spark, d).select("id", F.size(T.shingles(T.farm_text(F.col("text")))).cast("long").alias("grams"))
+
+
+@query(
+    "WITH n AS (SELECT p_partkey, p_name, regexp_replace(lower(p_name), '[^a-z]', '', 'g') AS l FROM part) SELECT p_partkey, NOT regexp_matches(p_name, '[\\s_\\-.]') AND length(l) >= 5 "
+    "AND length(regexp_replace(p_name, '[^0-9]', '', 'g')) <= 6 AND (length(regexp_replace(l, '[^aeiouy]', '', 'g')) / greatest(length(l), 1) < 0.22 "
+    "OR list_max(list_transform(regexp_split_to_array(l, '[aeiouy]+'), lambda x: length(x))) >= 5) AS random_name FROM n"
+)
+def random_names(spark, d):
+    return table(spark, d, "part").select("p_partkey", T.random_name(F.col("p_name")).alias("random_name"))
+
+
+def _rule_sql(kind: str) -> str:
+    tests = ", ".join(f"CASE WHEN regexp_matches(n, '{r.pattern}') OR regexp_matches(t, '{r.pattern}') THEN '{r.id}' END" for r in prescreen.RULES)
+    weights = " + ".join(
+        f"CASE WHEN regexp_matches(n, '{r.pattern}') OR regexp_matches(t, '{r.pattern}') THEN {f'CASE WHEN news THEN 1 ELSE 3 END' if r.weight == 3 else 1} ELSE 0 END" for r in prescreen.RULES
+    )
+    texts = (
+        f"{_POSTS}, x AS (SELECT *, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS n, lower(regexp_replace(text, '[^\\x{{3400}}-\\x{{9FFF}}\\x{{3040}}-\\x{{30FF}}a-z0-9]', '', 'g')) AS t FROM posts), "
+        f"y AS (SELECT *, regexp_matches(n, '{prescreen.NEWS}') AS news FROM x)"
+    )
+    if kind == "rules":
+        return f"WITH {texts} SELECT rule, count(*) AS posts FROM (SELECT unnest([{tests}]) AS rule FROM y) WHERE rule IS NOT NULL GROUP BY rule"
+    return (
+        f"WITH {texts} SELECT id, CASE WHEN length(n) < {prescreen.LEAST_CHARS} THEN 'too_short_no_media' END AS skip, {weights} AS score, "
+        f"array_to_string(list_filter([{tests}], lambda r: r IS NOT NULL), ',') AS reasons FROM y"
+    )
+
+
+@query(_rule_sql("rules"))
+def rule_hits(spark, d):
+    hit = posts(spark, d).select(F.explode(prescreen.hits(F.col("text"))).alias("h"))
+    return hit.groupBy(F.col("h.id").alias("rule")).agg(F.count("*").alias("posts"))
+
+
+@query(_rule_sql("posts"))
+def prescreen_scores(spark, d):
+    return prescreen.prescreen(posts(spark, d)).select("id", "skip", "score", "reasons")
+
+
+@query(f"WITH {_POSTS}, {_KEYS} SELECT farm_key, count(DISTINCT handle) AS accounts, count(*) AS posts, min(seq) AS first_seq FROM keyed GROUP BY farm_key HAVING count(DISTINCT handle) >= 2")
+def farm_exact_accounts(spark, d):
+    return farm.exact_accounts(posts(spark, d))
+
+
+@query(f"WITH {_POSTS}, {_KEYS} SELECT id, handle, accounts FROM keyed JOIN (SELECT farm_key, count(DISTINCT handle) AS accounts FROM keyed GROUP BY farm_key HAVING count(DISTINCT handle) >= 2) USING (farm_key)")
+def farm_retro_hide(spark, d):
+    return farm.retro_hits(posts(spark, d))
+
+
+@query(
+    f"WITH {_POSTS}, {_KEYS}, u AS (SELECT farm_key, min(id) AS id FROM keyed GROUP BY farm_key), g AS (SELECT id, farm_key AS k, {_grams('farm_key')} AS g FROM u), "
+    "p AS (SELECT x.id AS a, y.id AS b, round(len(list_intersect(x.g, y.g)) / least(len(x.g), len(y.g)), 6) AS similarity FROM g x JOIN g y ON x.id < y.id "
+    "AND least(length(x.k), length(y.k)) * 2 >= greatest(length(x.k), length(y.k))) SELECT a, b, similarity FROM p WHERE similarity >= 0.8"
+)
+def farm_near_pairs(spark, d):
+    return farm.near_pairs(posts(spark, d))
+
+
+_SESSIONS = (
+    "WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY event_type ORDER BY ts)) < 1800000000 THEN 0 ELSE 1 END AS fresh FROM events), "
+    "s AS (SELECT *, sum(fresh) OVER (PARTITION BY event_type ORDER BY ts RANGE UNBOUNDED PRECEDING) AS session FROM g) "
+    "SELECT event_type, session::BIGINT AS session, min(ts) AS started, max(ts) AS ended, count(*) AS events, count(DISTINCT user_id) AS accounts FROM s GROUP BY event_type, session"
+)
+
+
+@query(_SESSIONS)
+def farm_sessions(spark, d):
+    return farm.sessions(table(spark, d, "events"), "event_type", "user_id", "ts")
+
+
+_BANDS = (
+    f"WITH {_POSTS}, {_KEYS}, c AS (SELECT id, accounts FROM keyed JOIN (SELECT farm_key, count(DISTINCT handle) AS accounts FROM keyed GROUP BY farm_key HAVING count(DISTINCT handle) >= 2) USING (farm_key)), "
+    f"s AS ({_rule_sql('posts')}), z AS (SELECT p.id, p.handle, s.score, coalesce(c.accounts, 0) AS n, {_ANSWERS.replace('id *', 'p.id *').replace('id %', 'p.id %')} FROM posts p JOIN s ON s.id = p.id LEFT JOIN c ON c.id = p.id), "
+    "e AS (SELECT *, category IN ('adult_porn', 'adult_solicitation', 'scam') AS el FROM z), "
+    "b AS (SELECT *, CASE WHEN el AND confidence >= 0.7 AND severity >= 2 AND (adult >= 0.9 OR deceptive >= 0.85 OR (solicitation >= 0.9 AND severity >= 2.5) OR (adult >= 0.8 AND solicitation >= 0.8 AND confidence >= 0.95)) THEN 'block' "
+    "WHEN n >= 3 THEN 'hide' WHEN n >= 2 AND (adult >= 0.4 OR deceptive >= 0.4 OR solicitation >= 0.6 OR score >= 1 OR coalesce(junk >= 0.4, false)) THEN 'hide' "
+    "WHEN adult >= 0.9 AND confidence >= 0.5 THEN 'hide' WHEN el AND (confidence >= 0.45 OR severity >= 2) THEN 'hide' WHEN el AND adult >= 0.9 THEN 'hide' WHEN el AND confidence >= 0.3 THEN 'review' "
+    "WHEN coalesce(junk >= 0.65, false) THEN 'review' WHEN adult >= 0.5 THEN 'review' ELSE 'ignore' END AS band FROM e) "
+)
+
+
+@query(_BANDS + "SELECT id, band FROM b")
+def gate_bands(spark, d):
+    return decisions(spark, d).select("id", "band")
+
+
+@query(_BANDS + "SELECT band, category, count(*) AS posts FROM b GROUP BY GROUPING SETS ((band), (category), (band, category), ())")
+def band_stats(spark, d):
+    made = decisions(spark, d).select("band", "category")
+    return made.groupingSets([["band"], ["category"], ["band", "category"], []], "band", "category").agg(F.count("*").alias("posts"))
+
+
+@query(_BANDS + "SELECT id, CASE band WHEN 'hide' THEN 'mute' WHEN 'block' THEN 'block' ELSE 'none' END AS kind, band IN ('hide', 'block') AS execute, CASE WHEN band IN ('hide', 'block') THEN 'armed' ELSE 'band_below_block' END AS reason FROM b")
+def action_plan(spark, d):
+    return gate.plan_action(decisions(spark, d)).select("id", "kind", "execute", "reason")
+
+
+@query(_BANDS + "SELECT band, quality, toxic, count(*) AS docs FROM b JOIN labels ON labels.doc_id = b.id GROUP BY band, quality, toxic")
+def label_eval(spark, d):
+    labels = table(spark, d, "labels")
+    made = decisions(spark, d)
+    return made.join(labels, made["id"] == labels["doc_id"]).groupBy("band", "quality", "toxic").agg(F.count("*").alias("docs"))
+
+
+_SIGHT = "SELECT user_id::VARCHAR AS handle, ts, ['ignore', 'review', 'hide', 'block'][event_id % 4 + 1] AS band, event_id % 4 AS r, (event_id * 37 % 101) / 100.0::DOUBLE AS adult FROM events"
+
+
+def _sightings(spark, d):
+    e = table(spark, d, "events")
+    band = F.element_at(F.array(*map(F.lit, registry.BANDS)), (F.col("event_id") % 4 + 1).cast("int"))
+    return e.select(F.col("user_id").cast("string").alias("handle"), "ts", band.alias("band"), ((F.col("event_id") * 37 % 101) / 100.0).alias("adult"))
+
+
+_MERGED = f"SELECT handle, count(*) AS hits, min(ts) AS first_seen, max(ts) AS last_seen, arg_max(band, r) AS best_band, max(adult) AS best_adult FROM ({_SIGHT}) GROUP BY handle"
+
+
+@query(_MERGED)
+def registry_merge(spark, d):
+    return registry.merge(_sightings(spark, d))
+
+
+@query(f"SELECT best_band, count(*) AS accounts, sum(hits)::BIGINT AS hits FROM ({_MERGED}) GROUP BY best_band")
+def registry_stats(spark, d):
+    return registry.statistics(registry.merge(_sightings(spark, d)))
+
+
+@query(f"SELECT handle, last_seen, hits FROM ({_MERGED}) ORDER BY last_seen DESC, handle LIMIT 200")
+def top_offenders(spark, d):
+    return registry.merge(_sightings(spark, d)).orderBy(F.desc("last_seen"), "handle").limit(200).select("handle", "last_seen", "hits")
+
+
+@query("SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT source AS s FROM documents WHERE doc_id % 7 = 0 AND source < 'src15') w WHERE w.s = d.source)")
+def whitelist_anti_join(spark, d):
+    docs = table(spark, d, "documents")
+    listed = docs.where("doc_id % 7 = 0 and source < 'src15'").select("source").distinct()
+    return docs.join(listed, "source", "left_anti").select("doc_id", "source")
+
+
+@query("SELECT d.doc_id, min(k.item_id) AS item_id FROM documents d JOIN (SELECT item_id, lower(left(text, 30)) AS k FROM benchmark) k ON contains(lower(d.text), k.k) GROUP BY d.doc_id")
+def keyword_theta_join(spark, d):
+    docs, words = table(spark, d, "documents"), table(spark, d, "benchmark")
+    keys = words.select(F.lower(F.left("text", F.lit(30))).alias("k"), "item_id")
+    low = docs.select("doc_id", F.lower("text").alias("t"))
+    if keys.count() <= KEYWORDS:  # a list this short rides along with the scan
+        listed = keys.groupBy().agg(F.collect_list(F.struct("item_id", "k")).alias("keys"))
+        held = F.array_min(F.transform(F.filter("keys", lambda x: F.contains(F.col("t"), x["k"])), lambda x: x["item_id"]))
+        return low.crossJoin(F.broadcast(listed)).select("doc_id", held.alias("item_id")).where("item_id is not null")
+    # A longer one meets the texts in an equi-join of its first eight characters with their eight-grams.
+    low = low.where(F.length("t") >= 8)
+    grams = low.select("doc_id", "t", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t") - 7), lambda i: F.substring("t", i, F.lit(8))))).alias("g"))
+    found = grams.join(keys.withColumn("g", F.left("k", F.lit(8))), "g").where(F.contains("t", "k"))
+    return found.groupBy("doc_id").agg(F.min("item_id").alias("item_id"))
+
+
+@query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3599999999 MICROSECONDS PRECEDING AND CURRENT ROW) AS in_window FROM events")
+def rate_counts(spark, d):
+    return rates.sliding_counts(table(spark, d, "events"), "user_id", "ts", 3600).select("event_id", "in_window")
+
+
+@query("SELECT ts::DATE::VARCHAR AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
+def daily_counters(spark, d):
+    return rates.day_counts(table(spark, d, "events"), "event_type", "ts").withColumn("day", F.col("day").cast("string"))
+
+
+@query()
+def budget_admission(spark, d):
+    """At most 2 admitted events per user and day-long window; recursive, so held against a fold in the tests."""
+    return rates.admit(table(spark, d, "events"), "user_id", "ts", "event_id", 2, 24 * 3600)
+
+
+@query("SELECT event_type, count(*) AS calls, sum(k)::BIGINT AS tokens FROM (SELECT event_type, json_extract(props, '$.k')::BIGINT AS k FROM events) GROUP BY event_type")
+def token_accounting(spark, d):
+    parsed = table(spark, d, "events").select("event_type", F.from_json("props", "struct<k:bigint>").getField("k").alias("k"))
+    return parsed.groupBy("event_type").agg(F.count("*").alias("calls"), F.sum("k").alias("tokens"))
+
+
+@query(f"WITH {_POSTS} SELECT id, concat_ws(chr(10), '@' || handle, 'lang: ' || lang, CASE WHEN length(text) > 100 THEN left(text, 100) || '…' ELSE text END) AS state FROM posts")
+def state_render(spark, d):
+    cut = F.when(F.length("text") > 100, F.concat(F.left("text", F.lit(100)), F.lit("…"))).otherwise(F.col("text"))
+    return posts(spark, d).select("id", F.concat_ws("\n", F.concat(F.lit("@"), "handle"), F.concat(F.lit("lang: "), "lang"), cut).alias("state"))
+
+
+@query("SELECT event_id, user_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 50")
+def audit_tail(spark, d):
+    return table(spark, d, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(50).select("event_id", "user_id", "event_type")
+
+
+@query(
+    "SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS host, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS lang, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, "
+    "len(string_split(html, '<a ')) - 1 AS links FROM pages"
+)
+def html_records(spark, d):
+    return page_records(table(spark, d, "pages"))
+
+
+def _classed(spark, d):
+    """Replies with a class by length, so that folds have members in plain prose."""
+    names = F.array(*map(F.lit, folds.CLASSES))
+    n = F.length("text")
+    return replies(spark, d).withColumn("class", F.when(n < 120, F.element_at(names, (n % len(folds.CLASSES) + 1).cast("int"))))
+
+
+_CLASSED = f"{_REPLIES}, classed AS (SELECT *, CASE WHEN length(text) < 120 THEN {list(folds.CLASSES)!r}[length(text) % {len(folds.CLASSES)} + 1] END AS class FROM replies)"
+
+
+@query(
+    f"WITH {_CLASSED} SELECT thread_id, seq, class, count(*) OVER w AS group_size, first_value(seq) OVER w AS representative, count(*) OVER w > 1 AS folded FROM classed WHERE class IS NOT NULL AND NOT thread_root "
+    "WINDOW w AS (PARTITION BY thread_id ORDER BY seq ROWS UNBOUNDED PRECEDING)"
+)
+def thread_fold(spark, d):
+    return folds.thread_fold(_classed(spark, d))
+
+
+@query(f"WITH {_CLASSED} SELECT thread_id, class, count(*) AS replies FROM classed WHERE class IS NOT NULL GROUP BY thread_id, class")
+def thread_class_breakdown(spark, d):
+    return folds.class_breakdown(_classed(spark, d))
+
+
+_REPLY_GRAMS = f"{_REPLIES}, f AS (SELECT thread_id, turn, seq, {_farm('left(text, 280)')} AS k FROM replies), g AS (SELECT thread_id, turn, seq, {_grams('k')} AS g FROM f)"
+
+
+@query(
+    f"WITH {_REPLY_GRAMS}, p AS (SELECT x.seq, y.seq AS candidate, round(len(list_intersect(x.g, y.g)) / least(len(x.g), len(y.g)), 6) AS similarity FROM g x JOIN g y ON x.thread_id = y.thread_id AND y.turn < x.turn AND y.turn >= x.turn - 59), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY similarity DESC, candidate) AS rank FROM p WHERE similarity >= 0.3) SELECT seq, candidate, similarity, rank FROM r WHERE rank <= 6"
+)
+def beta_candidates(spark, d):
+    return folds.beta_candidates(replies(spark, d))
+
+
+@query(
+    f"WITH {_REPLY_GRAMS}, p AS (SELECT x.seq, len(list_intersect(x.g, y.g)) / least(len(x.g), len(y.g)) AS s, row_number() OVER (PARTITION BY x.seq ORDER BY y.seq DESC) AS rank FROM g x JOIN g y ON x.thread_id = y.thread_id AND x.seq <> y.seq) "
+    'SELECT seq, count(*) AS "references", round(median(s), 6) AS median_similarity FROM p WHERE rank <= 12 GROUP BY seq HAVING count(*) >= 3'
+)
+def alpha_references(spark, d):
+    return folds.alpha_references(replies(spark, d))
