@@ -13,10 +13,10 @@ rows without an id are reported under a null id.  Other columns are not read.  W
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import id_text, small, table
+from millrace.llm.common import id_text, table
 
 WINDOW, LEAST, COVERAGE = 8, 4, 0.5
 #: Up to so many benchmark windows (24 bytes and eight short words each) are broadcast; more are joined by a shuffle.
@@ -54,15 +54,21 @@ def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
     literal = F.size(F.filter("part", lambda x: ~x.startswith("\x01")))
     return (
         each.where(literal >= F.greatest(F.lit(2), F.floor(F.col("size") / 2)))
-        .withColumn("of", F.count("*").over(_by_item()))
+        .withColumn("of", F.count("*").over(Window.partitionBy("item_id")))
         .select("item_id", "size", F.xxhash64("part").alias("key"), "at", "of", F.expr("slice(valued, at, size)").alias("item_part"))
     )
 
 
-def _by_item():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("item_id")
+def _probe(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
+    """doc_id, text, pos and the item's columns of each window that an item has as well."""
+    windows = F.posexplode(window_hashes(F.col("words"), size)).alias("pos", "key")
+    if items.count() <= BROADCAST_WINDOWS:
+        return docs.select("doc_id", "text", windows).join(F.broadcast(items), "key")
+    # Windows travel without their text, which only those that meet an item fetch again.
+    named = docs.withColumn("tkey", F.xxhash64("text"))
+    found = named.select("doc_id", "tkey", windows).join(items, "key").withColumnsRenamed({"doc_id": "of_doc", "tkey": "of_text"})
+    texts = named.select("doc_id", "tkey", "text").dropDuplicates(["doc_id", "tkey"])
+    return found.join(texts, F.col("of_doc").eqNullSafe(F.col("doc_id")) & (F.col("of_text") == F.col("tkey")))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
@@ -74,10 +80,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
     items = item_windows(benchmark, window)
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most ``window`` numbers
     docs = id_text(docs).withColumn("words", tokens(F.col("text")))
-    parts = [small(items.where(F.col("size") == s), BROADCAST_WINDOWS) for s in sizes]
     hits = None
-    for size, part in zip(sizes, parts):
-        probed = docs.select("doc_id", "text", F.posexplode_outer(window_hashes(F.col("words"), size)).alias("pos", "key")).join(part, "key")
+    for size in sizes:
+        probed = _probe(docs, items.where(F.col("size") == size), size)
         spoken = F.slice(tokens(F.col("text"), True), F.col("pos") + 1, size)
         pairs = F.filter(F.arrays_zip(F.col("item_part").alias("b"), spoken.alias("d")), lambda p: p["b"].startswith("\x01"))
         slotted = F.exists("item_part", lambda x: x.startswith("\x01"))
