@@ -44,9 +44,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind; every document stays."""
     model = fit_pii(id_text(docs))
-    found = find_pii(docs.withColumn("text", F.coalesce("text", F.lit(""))), model)
-    out = found.withColumn("text", redacted(F.col("text"), F.col("all_spans"))).withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(docs.columns)
+    # The row travels in one column of its own, so that none of its names meets those of the spans.
+    found = find_pii(docs.select(F.struct("*").alias("row_read"), F.coalesce("text", F.lit("")).alias("text")), model)
+    new = found.withColumn("text", redacted(F.col("text"), F.col("all_spans"))).withColumn("n_chars", F.length("text").cast("long"))
+    return new.select(*(F.col(c) if c in ("text", "n_chars") else F.col("row_read").getField(c).alias(c) for c in docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
