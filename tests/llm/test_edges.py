@@ -89,3 +89,19 @@ def test_pages_edges(spark):
     assert [r.text for r in out if r.page_id == 1] == ["Title\nTom & Ann went home."] * 2
     assert all(r.text == "" and r.n_chars == 0 for r in out if r.page_id in (2, 3, 4))
     assert extract_main_text(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_pipeline_stages_keep_clashing_columns(spark, stage):
+    import corpus_pipeline
+
+    name, run = corpus_pipeline.STAGES[stage]
+    docs = clashing(documents(spark, [None, "", prose(1, 80), prose(1, 80), f"{prose(2, 30)} write to a.b@c.example now", prose(3, 30_000)]))
+    out = run(spark, docs, "/root/testdata/sf0.001")
+    assert run(spark, docs.where("false"), "/root/testdata/sf0.001").count() == 0
+    assert name == "mix" or out.columns == docs.columns
+    texts = [r.text for r in out.collect()]
+    if name == "private":
+        assert len(texts) == 6 and sum("<EMAIL>" in t for t in texts) == 1
+    if name == "near_dedup":
+        assert len(texts) == 5
