@@ -62,3 +62,20 @@ def alpha_references(replies: DataFrame, most: int = 12, least: int = 3) -> Data
     rank = F.row_number().over(Window.partitionBy("x.seq").orderBy(F.desc("y.seq")))
     latest = pairs.withColumn("rank", rank).where(F.col("rank") <= most).select(F.col("x.seq").alias("seq"), overlap(F.col("x.g"), F.col("y.g")).alias("s"))
     return latest.groupBy("seq").agg(F.count("*").alias("references"), F.round(F.median("s"), 6).alias("median_similarity")).where(F.col("references") >= least)
+
+
+def read_beta(answered: DataFrame, confirm: float = 0.70) -> DataFrame:
+    """Groups from the model's answers (seq, candidate, noul) on candidates: the earliest confirmed one stands for the group."""
+    sure = answered.where(F.col("noul") >= confirm).groupBy("seq")
+    return sure.agg(F.min("candidate").alias("representative"), (F.count("*") + 1).alias("group_size"), F.round(F.max("noul"), 3).alias("similarity"))
+
+
+def read_alpha(references: DataFrame, confirm: float = 0.70, median: float = 0.5) -> DataFrame:
+    """Replies unlike their references (seq, median_similarity, majority, contrast) that the model sets apart, with a score."""
+    apart = references.where((F.col("majority") >= confirm) & (F.col("median_similarity") <= median) & F.col("contrast").isNotNull())
+    return apart.select("seq", F.round(F.least(F.greatest(F.col("contrast") / 3, F.lit(0.0)), F.lit(1.0)), 3).alias("score"))
+
+
+def display_state(band: Column, alpha: Column, emotion: Column, folded: Column) -> Column:
+    """What a reader sees; an alpha mark keeps a reply from folding."""
+    return F.when(band.isin("hide", "block"), "hidden").when(alpha, "alpha").when(emotion.isNotNull() & ~folded, "emotion").when(folded, "beta_folded").otherwise("plain")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BANDS = ("ignore", "review", "hide", "block")
@@ -33,16 +33,38 @@ def statistics(registry: DataFrame) -> DataFrame:
     return registry.groupBy("best_band").agg(F.count("*").alias("accounts"), F.sum("hits").alias("hits"))
 
 
+def evidence(sightings: DataFrame, column: str, most: int, latest: bool = False) -> DataFrame:
+    """Per handle the first (or last) ``most`` distinct values of a column, in order of first sight; bounded before it is collected."""
+    seen = sightings.where(F.col(column).isNotNull()).groupBy("handle", column).agg(F.min("ts").alias("ts"))
+    ahead = (F.desc("ts"), F.desc(column)) if latest else (F.asc("ts"), F.asc(column))
+    kept = seen.withColumn("rank", F.row_number().over(Window.partitionBy("handle").orderBy(*ahead))).where(F.col("rank") <= most)
+    ordered = F.array_sort(F.collect_list(F.struct("ts", column)))
+    return kept.groupBy("handle").agg(F.transform(ordered, lambda x: x[column]).alias(column))
+
+
+def export_list(registry: DataFrame, path: str) -> None:
+    """JSON lines, one entry each with the time of export; ``import_list`` reads them back."""
+    registry.withColumn("exported_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")).write.json(path)
+
+
+def import_list(spark: SparkSession, path: str) -> DataFrame:
+    return parse_list(spark.read.text(path).withColumnRenamed("value", "text"))
+
+
+def remove(registry: DataFrame, handles: DataFrame) -> DataFrame:
+    return registry.join(handles.select(normalize_handle(F.col("handle")).alias("handle")).distinct(), "handle", "left_anti")
+
+
 def parse_list(texts: DataFrame) -> DataFrame:
-    """Handles of an import, one text per row: a JSON array of names or of objects, an object with entries, or plain lines."""
-    names = F.from_json("text", "array<string>")
-    objects = F.from_json("text", "array<struct<handle:string>>")
-    entries = F.from_json("text", "struct<entries:array<struct<handle:string>>>")
-    plain = F.split("text", r"[\n\r,;]+")
-    raw = (
-        F.when(F.col("text").rlike(r"^\s*\["), F.when(F.col("text").rlike(r"^\s*\[\s*\{"), F.transform(objects, lambda x: x["handle"])).otherwise(names))
-        .when(F.col("text").rlike(r"^\s*\{"), F.transform(entries["entries"], lambda x: x["handle"]))
-        .otherwise(plain)
-    )
-    handle = normalize_handle(F.col("raw"))
-    return texts.select(F.explode(raw).alias("raw")).select(handle.alias("handle")).where(valid_handle(F.col("handle"))).distinct()
+    """Handles of an import, one text per row.
+
+    A text is a JSON array of names or entries, an object with ``entries`` or ``handles``, one entry with a ``handle``,
+    an object whose keys are names, or plain lines of which the first word counts and ``#`` begins a remark.
+    """
+    text = F.trim("text")
+    whole = F.from_json(text, "entries array<string>, handles array<string>, handle string")
+    lines = F.transform(F.filter(F.transform(F.split(text, r"[\n\r,;]+"), F.trim), lambda x: ~x.startswith("#")), lambda x: F.regexp_extract(x, r"^(\S*)", 1))
+    named = F.coalesce(whole["entries"], whole["handles"], F.when(whole["handle"].isNotNull(), F.array(whole["handle"])), F.map_keys(F.from_json(text, "map<string,string>")))
+    raw = F.when(text.startswith("["), F.from_json(text, "array<string>")).when(text.startswith("{"), named).otherwise(lines)
+    name = F.when(F.col("raw").startswith("{"), F.get_json_object("raw", "$.handle")).otherwise(F.col("raw"))
+    return texts.select(F.explode(raw).alias("raw")).select(normalize_handle(name).alias("handle")).where(valid_handle(F.col("handle"))).distinct()

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
-from millrace.operators import farm, folds, gate, prescreen, rates, registry
+from millrace.operators import emotion, farm, folds, gate, media, prescreen, rates, registry, routing
 from millrace.plans.timeline import decisions
-from millrace.schema import posts, replies, table
+from millrace.schema import answers, posts, replies, table
 from millrace.sources.html_posts import page_records
 
 #: Keyword lists up to this length are held against each text as it is read.
@@ -320,3 +320,97 @@ def beta_candidates(spark, d):
 )
 def alpha_references(spark, d):
     return folds.alpha_references(replies(spark, d))
+
+
+@query(f"SELECT seq, min(candidate) AS representative, count(*) + 1 AS group_size, round(max(noul), 3) AS similarity FROM (SELECT seq, candidate, ((seq * 31 + candidate * 7) % 101) / 100.0::DOUBLE AS noul FROM ({ORACLE_SQL['beta_candidates']})) WHERE noul >= 0.7 GROUP BY seq")
+def beta_groups(spark, d):
+    noul = ((F.col("seq") * 31 + F.col("candidate") * 7) % 101) / 100.0
+    return folds.read_beta(folds.beta_candidates(replies(spark, d)).withColumn("noul", noul))
+
+
+_FEELING = "regexp_replace(lower(text), '[^\\x{3400}-\\x{9FFF}a-z0-9]', '', 'g')"
+_OWNER = {w: name for name, words in reversed(list(folds.CLASSES.items())) for w in words}
+
+
+def _emotion_sql() -> str:
+    cores = " ".join(f"WHEN length(t) <= {emotion.CORE_CHARS} AND regexp_matches(t, '{emotion.core_pattern(words)}') THEN '{name}'" for name, words in folds.CLASSES.items())
+    lists = " ".join(f"WHEN w IN ({', '.join(map(repr, [w for w, o in _OWNER.items() if o == name]))}) AND length(w) >= 2 THEN '{name}'" for name in folds.CLASSES)
+    order = f"list_position({list(folds.CLASSES)!r}, of)"
+    return (
+        f"WITH t AS (SELECT doc_id, text, {_FEELING} AS t FROM (SELECT doc_id, left(text, 60) AS text FROM documents)), w AS (SELECT *, regexp_extract_all(t, '{emotion.any_of([*_OWNER, *emotion.FILLERS])}') AS ws FROM t), "
+        f"e AS (SELECT doc_id, of, sum(length(w)) AS n FROM (SELECT doc_id, w, CASE {lists} END AS of FROM (SELECT doc_id, unnest(ws) AS w FROM w)) WHERE of IS NOT NULL GROUP BY doc_id, of), "
+        f"b AS (SELECT doc_id, of FROM e QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, {order}) = 1) "
+        f"SELECT doc_id, CASE WHEN t = '' THEN CASE WHEN regexp_matches(text, '{emotion.EMOJI}') THEN 'emoji' END WHEN length(t) > {emotion.MAX_CHARS} THEN NULL WHEN regexp_matches(t, '[0-9]') AND NOT regexp_matches(t, '^1+$') THEN NULL "
+        f"WHEN regexp_matches(t, '{emotion.any_of(emotion.ARGUING)}') THEN NULL {cores} WHEN length(array_to_string(ws, '')) / length(t) >= {emotion.COVERED} THEN of END AS class FROM w LEFT JOIN b USING (doc_id)"
+    )
+
+
+@query(_emotion_sql())
+def emotion_classes(spark, d):
+    opening = table(spark, d, "documents").select("doc_id", F.left("text", F.lit(60)).alias("text"))
+    return opening.select("doc_id", emotion.emotion(F.col("text")).alias("class"))
+
+
+def _pixels(spark, d):
+    """A thumbnail of 8 by 8 pixels for each part, by arithmetic on its key."""
+    k, i = F.col("p_partkey"), F.col("i")
+    spread = table(spark, d, "part").select("p_partkey", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i"))
+    place = [k.alias("image_id"), F.lit(8).alias("width"), F.lit(8).alias("height"), (i % 8).alias("x"), F.floor(i / 8).alias("y")]
+    return spread.select(*place, (120 + (k * 31 + i * 7 * (k % 3)) % 130).alias("r"), (60 + (k * 17 + i * 5 * (k % 4)) % 130).alias("g"), (30 + (k * 13 + i * 11 * (k % 2)) % 130).alias("b"))
+
+
+_IMAGES = (
+    "WITH s AS (SELECT p_partkey AS k, unnest(generate_series(0, 63)) AS i FROM part), p AS (SELECT k AS image_id, i % 8 AS x, i // 8 AS y, 120 + (k * 31 + i * 7 * (k % 3)) % 130 AS r, 60 + (k * 17 + i * 5 * (k % 4)) % 130 AS g, "
+    "30 + (k * 13 + i * 11 * (k % 2)) % 130 AS b FROM s), q AS (SELECT *, greatest(r, g, b) AS hi, greatest(r, g, b) - least(r, g, b) AS d, lead(r) OVER w AS r2, lead(g) OVER w AS g2, lead(b) OVER w AS b2 FROM p WINDOW w AS (PARTITION BY image_id, y ORDER BY x)), "
+    "c AS (SELECT image_id, (y // 2) * 4 + x // 2 AS cell, r // 16 * 256 + g // 16 * 16 + b // 16 AS bucket, ((r > 95 AND g > 40 AND b > 20 AND d > 15 AND abs(r - g) > 15 AND r > g AND r > b) "
+    "OR (hi = r AND 6 * (g - b) BETWEEN -d AND 5 * d AND 4 * hi >= 255 AND 100 * d >= 15 * hi AND 10 * d <= 9 * hi))::INT AS skin, (x < 7)::INT AS checked, coalesce(abs(299 * (r - r2) + 587 * (g - g2) + 114 * (b - b2)) > 24000, false)::INT AS edge FROM q), "
+    "l AS (SELECT image_id, cell, count(*) AS n, sum(skin) AS skin, sum(checked) AS checked, sum(edge) AS edge FROM c GROUP BY image_id, cell), m AS (SELECT image_id, max(n) AS modal FROM (SELECT image_id, bucket, count(*) AS n FROM c GROUP BY image_id, bucket) GROUP BY image_id), "
+    "z AS (SELECT image_id, sum(n)::BIGINT AS pixels, sum(skin) / sum(n) AS skin_ratio, max(skin / n) AS max_cell_ratio, count(*) FILTER (skin * 10 >= n * 6) AS dominant_cells, sum(edge) / sum(checked) AS texture, any_value(modal) / sum(n) AS flat_ratio FROM l JOIN m USING (image_id) GROUP BY image_id) "
+    "SELECT image_id, pixels, skin_ratio, max_cell_ratio, dominant_cells, texture, flat_ratio, CASE WHEN flat_ratio > 0.9 THEN 'flat' WHEN skin_ratio >= 0.7 AND dominant_cells >= 8 AND flat_ratio < 0.85 THEN 'blocked' "
+    "WHEN skin_ratio >= 0.45 AND (dominant_cells >= 6 OR texture >= 0.05) THEN 'suspicious' ELSE 'clear' END AS verdict FROM z"
+)
+
+
+@query(_IMAGES)
+def image_verdicts(spark, d):
+    return media.verdict(media.image_stats(_pixels(spark, d))).drop("cells")
+
+
+def _scored(spark, d):
+    i = F.col("id")
+    flags = {"candidate": i % 3 == 0, "media_suspicious": i % 17 == 0, "vision_ok": i % 19 == 0, "farm_hit": i % 23 == 0, "repeats": i % 29 == 0, "model_budget": i % 7 != 0, "triage_budget": i % 5 != 0, "draw": (i * 41 % 101) / 101.0}
+    return posts(spark, d).select("id").withColumns(flags)
+
+
+_ROUTED = (
+    f"WITH i AS (SELECT doc_id AS id FROM documents), a AS (SELECT id, {_ANSWERS} FROM i), r AS (SELECT id, CASE WHEN (id % 3 = 0 OR id % 17 = 0 OR id % 19 = 0) AND id % 7 <> 0 THEN 'full' WHEN id % 3 = 0 OR id % 17 = 0 OR id % 19 = 0 THEN 'budget_exhausted' "
+    "WHEN id % 23 <> 0 AND id % 29 <> 0 AND id * 41 % 101 / 101.0::DOUBLE >= 0.25 THEN 'not_sampled' WHEN id % 5 = 0 THEN 'triage_budget_exhausted' ELSE 'probe' END AS route FROM i), "
+    "p AS (SELECT r.id, route, CASE WHEN route = 'probe' AND r.id % 31 <> 0 THEN junk END AS junk, route = 'probe' AND r.id % 31 = 0 AS lost, adult, severity, category FROM r JOIN a ON a.id = r.id), "
+    "e AS (SELECT *, route = 'probe' AND coalesce(junk >= 0.75, false) AND id % 7 <> 0 AS escalated FROM p), c AS (SELECT *, route = 'full' OR escalated AS called FROM e), "
+    "v AS (SELECT *, called AND id % 13 <> 0 AND id % 11 <> 0 AS valid FROM c) SELECT id, route, escalated, CASE WHEN valid THEN adult ELSE 0 END AS adult, CASE WHEN valid THEN severity ELSE 0 END AS severity, CASE WHEN valid THEN category ELSE 'other' END AS category, junk, "
+    "CASE WHEN valid THEN 'model' WHEN junk IS NOT NULL THEN 'probe' END AS source, CASE WHEN route = 'budget_exhausted' THEN 'budget_exhausted' WHEN (called AND id % 13 = 0) OR lost THEN 'model_error' WHEN called AND NOT valid THEN 'schema_invalid' END AS degraded FROM v"
+)
+
+
+@query(_ROUTED)
+def model_routing(spark, d):
+    """Calls for ids divisible by 13 (full) and 31 (probe) fail; answers of ids divisible by 11 lack a required one."""
+    given = answers(posts(spark, d).select("id"))
+    full = given.where("id % 13 <> 0").withColumn("adult", F.when(F.col("id") % 11 != 0, F.col("adult")))
+    made = routing.evaluate(routing.route(_scored(spark, d)), full, given.where("id % 31 <> 0"))
+    return made.drop("solicitation", "deceptive", "confidence")
+
+
+@query()
+def decision_cache(spark, d):
+    """Requests answered by a decision of the last six hours; recursive, so held against a fold in the tests."""
+    return routing.cached(table(spark, d, "events"), "user_id", "ts", "event_id")
+
+
+@query(
+    f"WITH s AS (SELECT user_id::VARCHAR AS handle, event_type, min(ts) AS ts FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY handle ORDER BY ts, event_type) AS rank FROM s) "
+    "SELECT handle, string_agg(event_type, ',' ORDER BY ts, event_type) AS reasons FROM r WHERE rank <= 8 GROUP BY handle"
+)
+def registry_reasons(spark, d):
+    seen = table(spark, d, "events").select(F.col("user_id").cast("string").alias("handle"), "ts", "event_type")
+    return registry.evidence(seen, "event_type", 8).select("handle", F.array_join("event_type", ",").alias("reasons"))
