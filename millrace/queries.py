@@ -328,6 +328,8 @@ def beta_groups(spark, d):
     return folds.read_beta(folds.beta_candidates(replies(spark, d)).withColumn("noul", noul))
 
 
+#: Short replies are made of these by arithmetic on the id, since the documents are long prose.
+_SAID = [w for words in folds.CLASSES.values() for w in words] + [*emotion.FILLERS, "walk", "海边", "because", "12", "😂"]
 _FEELING = "regexp_replace(lower(text), '[^\\x{3400}-\\x{9FFF}a-z0-9]', '', 'g')"
 _OWNER = {w: name for name, words in reversed(list(folds.CLASSES.items())) for w in words}
 
@@ -337,7 +339,7 @@ def _emotion_sql() -> str:
     lists = " ".join(f"WHEN w IN ({', '.join(map(repr, [w for w, o in _OWNER.items() if o == name]))}) AND length(w) >= 2 THEN '{name}'" for name in folds.CLASSES)
     order = f"list_position({list(folds.CLASSES)!r}, of)"
     return (
-        f"WITH t AS (SELECT doc_id, text, {_FEELING} AS t FROM (SELECT doc_id, left(text, 60) AS text FROM documents)), w AS (SELECT *, regexp_extract_all(t, '{emotion.any_of([*_OWNER, *emotion.FILLERS])}') AS ws FROM t), "
+        f"WITH t AS (SELECT doc_id, text, {_FEELING} AS t FROM (SELECT doc_id, concat_ws(' ', s[doc_id % len(s) + 1], s[(doc_id * 7 + 3) % len(s) + 1], CASE WHEN doc_id % 3 = 0 THEN s[doc_id * 11 % len(s) + 1] END) AS text FROM documents, (SELECT {_SAID!r} AS s))), w AS (SELECT *, regexp_extract_all(t, '{emotion.any_of([*_OWNER, *emotion.FILLERS])}') AS ws FROM t), "
         f"e AS (SELECT doc_id, of, sum(length(w)) AS n FROM (SELECT doc_id, w, CASE {lists} END AS of FROM (SELECT doc_id, unnest(ws) AS w FROM w)) WHERE of IS NOT NULL GROUP BY doc_id, of), "
         f"b AS (SELECT doc_id, of FROM e QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, {order}) = 1) "
         f"SELECT doc_id, CASE WHEN t = '' THEN CASE WHEN regexp_matches(text, '{emotion.EMOJI}') THEN 'emoji' END WHEN length(t) > {emotion.MAX_CHARS} THEN NULL WHEN regexp_matches(t, '[0-9]') AND NOT regexp_matches(t, '^1+$') THEN NULL "
@@ -347,8 +349,10 @@ def _emotion_sql() -> str:
 
 @query(_emotion_sql())
 def emotion_classes(spark, d):
-    opening = table(spark, d, "documents").select("doc_id", F.left("text", F.lit(60)).alias("text"))
-    return opening.select("doc_id", emotion.emotion(F.col("text")).alias("class"))
+    said, i = F.array(*map(F.lit, _SAID)), F.col("doc_id")
+    word = lambda n: F.get(said, (n % len(_SAID)).cast("int"))
+    made = table(spark, d, "documents").select("doc_id", F.concat_ws(" ", word(i), word(i * 7 + 3), F.when(i % 3 == 0, word(i * 11))).alias("text"))
+    return made.select("doc_id", emotion.emotion(F.col("text")).alias("class"))
 
 
 def _pixels(spark, d):
