@@ -7,12 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.operators.farm import retro_hits
 from millrace.operators.gate import decide
 from millrace.operators.prescreen import prescreen
-from millrace.schema import answers, posts
+from millrace.schema import POST_CHARS, answers, posts
 
 
-def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def decisions(spark: SparkSession, sf_dir: str, chars: int | None = POST_CHARS) -> DataFrame:
     """id, handle, answers, score, accounts and band of every post."""
-    p = posts(spark, sf_dir)
+    p = posts(spark, sf_dir, chars)
     scored = prescreen(p).select("id", "handle", "score", "candidate")
     campaigns = retro_hits(p).select("id", "accounts")
     return decide(answers(scored.join(campaigns, "id", "left")))

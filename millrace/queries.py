@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text as T
 from millrace.operators import emotion, farm, folds, gate, media, prescreen, rates, registry, routing
 from millrace.plans.timeline import decisions
-from millrace.schema import answers, posts, replies, table
+from millrace.schema import POST_CHARS, answers, posts, replies, table
 from millrace.sources.html_posts import page_records
 
 #: Keyword lists up to this length are held against each text as it is read.
@@ -63,8 +64,8 @@ def dense_text(spark, d):
 
 
 @query(f"WITH {_POSTS}, {_KEYS} SELECT id, farm_key FROM keyed")
-def farm_keys(spark, d):
-    return posts(spark, d).select("id", T.farm_key(F.col("text")).alias("farm_key")).where("farm_key is not null")
+def farm_keys(spark, d, chars=POST_CHARS):
+    return posts(spark, d, chars).select("id", T.farm_key(F.col("text")).alias("farm_key")).where("farm_key is not null")
 
 
 @query(
@@ -83,8 +84,8 @@ def fnv_hash(spark, d):
 
 
 @query(f"WITH {_POSTS} SELECT id, len({_grams('t')}) AS grams FROM (SELECT id, {_farm('text')} AS t FROM posts)")
-def shingle_count(spark, d):
-    return posts(spark, d).select("id", F.size(T.shingles(T.farm_text(F.col("text")))).cast("long").alias("grams"))
+def shingle_count(spark, d, chars=POST_CHARS):
+    return posts(spark, d, chars).select("id", F.size(T.shingles(T.farm_text(F.col("text")))).cast("long").alias("grams"))
 
 
 @query(
@@ -114,24 +115,24 @@ def _rule_sql(kind: str) -> str:
 
 
 @query(_rule_sql("rules"))
-def rule_hits(spark, d):
-    hit = posts(spark, d).select(F.explode(prescreen.hits(F.col("text"))).alias("h"))
+def rule_hits(spark, d, chars=POST_CHARS):
+    hit = posts(spark, d, chars).select(F.explode(prescreen.hits(F.col("text"))).alias("h"))
     return hit.groupBy(F.col("h.id").alias("rule")).agg(F.count("*").alias("posts"))
 
 
 @query(_rule_sql("posts"))
-def prescreen_scores(spark, d):
-    return prescreen.prescreen(posts(spark, d)).select("id", "skip", "score", "reasons")
+def prescreen_scores(spark, d, chars=POST_CHARS):
+    return prescreen.prescreen(posts(spark, d, chars)).select("id", "skip", "score", "reasons")
 
 
 @query(f"WITH {_POSTS}, {_KEYS} SELECT farm_key, count(DISTINCT handle) AS accounts, count(*) AS posts, min(seq) AS first_seq FROM keyed GROUP BY farm_key HAVING count(DISTINCT handle) >= 2")
-def farm_exact_accounts(spark, d):
-    return farm.exact_accounts(posts(spark, d))
+def farm_exact_accounts(spark, d, chars=POST_CHARS):
+    return farm.exact_accounts(posts(spark, d, chars))
 
 
 @query(f"WITH {_POSTS}, {_KEYS} SELECT id, handle, accounts FROM keyed JOIN (SELECT farm_key, count(DISTINCT handle) AS accounts FROM keyed GROUP BY farm_key HAVING count(DISTINCT handle) >= 2) USING (farm_key)")
-def farm_retro_hide(spark, d):
-    return farm.retro_hits(posts(spark, d))
+def farm_retro_hide(spark, d, chars=POST_CHARS):
+    return farm.retro_hits(posts(spark, d, chars))
 
 
 @query(
@@ -139,8 +140,8 @@ def farm_retro_hide(spark, d):
     "p AS (SELECT x.id AS a, y.id AS b, round(len(list_intersect(x.g, y.g)) / least(len(x.g), len(y.g)), 6) AS similarity FROM g x JOIN g y ON x.id < y.id "
     "AND least(length(x.k), length(y.k)) * 2 >= greatest(length(x.k), length(y.k))) SELECT a, b, similarity FROM p WHERE similarity >= 0.8"
 )
-def farm_near_pairs(spark, d):
-    return farm.near_pairs(posts(spark, d))
+def farm_near_pairs(spark, d, chars=POST_CHARS):
+    return farm.near_pairs(posts(spark, d, chars))
 
 
 _SESSIONS = (
@@ -167,25 +168,25 @@ _BANDS = (
 
 
 @query(_BANDS + "SELECT id, band FROM b")
-def gate_bands(spark, d):
-    return decisions(spark, d).select("id", "band")
+def gate_bands(spark, d, chars=POST_CHARS):
+    return decisions(spark, d, chars).select("id", "band")
 
 
 @query(_BANDS + "SELECT band, category, count(*) AS posts FROM b GROUP BY GROUPING SETS ((band), (category), (band, category), ())")
-def band_stats(spark, d):
-    made = decisions(spark, d).select("band", "category")
+def band_stats(spark, d, chars=POST_CHARS):
+    made = decisions(spark, d, chars).select("band", "category")
     return made.groupingSets([["band"], ["category"], ["band", "category"], []], "band", "category").agg(F.count("*").alias("posts"))
 
 
 @query(_BANDS + "SELECT id, CASE band WHEN 'hide' THEN 'mute' WHEN 'block' THEN 'block' ELSE 'none' END AS kind, band IN ('hide', 'block') AS execute, CASE WHEN band IN ('hide', 'block') THEN 'armed' ELSE 'band_below_block' END AS reason FROM b")
-def action_plan(spark, d):
-    return gate.plan_action(decisions(spark, d)).select("id", "kind", "execute", "reason")
+def action_plan(spark, d, chars=POST_CHARS):
+    return gate.plan_action(decisions(spark, d, chars)).select("id", "kind", "execute", "reason")
 
 
 @query(_BANDS + "SELECT band, quality, toxic, count(*) AS docs FROM b JOIN labels ON labels.doc_id = b.id GROUP BY band, quality, toxic")
-def label_eval(spark, d):
+def label_eval(spark, d, chars=POST_CHARS):
     labels = table(spark, d, "labels")
-    made = decisions(spark, d)
+    made = decisions(spark, d, chars)
     return made.join(labels, made["id"] == labels["doc_id"]).groupBy("band", "quality", "toxic").agg(F.count("*").alias("docs"))
 
 
@@ -267,6 +268,17 @@ def state_render(spark, d):
     return posts(spark, d).select("id", F.concat_ws("\n", F.concat(F.lit("@"), "handle"), F.concat(F.lit("lang: "), "lang"), cut).alias("state"))
 
 
+#: The whole state's limit.
+STATE_CHARS = 4000
+
+
+@query(f"WITH s AS (SELECT doc_id AS id, concat_ws(chr(10), '@' || source, 'lang: ' || lang, text) AS state FROM documents) SELECT id, CASE WHEN length(state) > {STATE_CHARS} THEN left(state, {STATE_CHARS - 1}) || '…' ELSE state END AS state FROM s")
+def state_render_whole(spark, d):
+    state = F.concat_ws("\n", F.concat(F.lit("@"), "handle"), F.concat(F.lit("lang: "), "lang"), "text")
+    cut = F.when(F.length("state") > STATE_CHARS, F.concat(F.left("state", F.lit(STATE_CHARS - 1)), F.lit("…"))).otherwise(F.col("state"))
+    return posts(spark, d, None).select("id", state.alias("state")).select("id", cut.alias("state"))
+
+
 @query("SELECT event_id, user_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 50")
 def audit_tail(spark, d):
     return table(spark, d, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(50).select("event_id", "user_id", "event_type")
@@ -418,3 +430,10 @@ def decision_cache(spark, d):
 def registry_reasons(spark, d):
     seen = table(spark, d, "events").select(F.col("user_id").cast("string").alias("handle"), "ts", "event_type")
     return registry.evidence(seen, "event_type", 8).select("handle", F.array_join("event_type", ",").alias("reasons"))
+
+
+#: The queries above read posts of 280 characters, as their SQL does; these are the same over whole documents.
+for _f in (farm_keys, shingle_count, rule_hits, prescreen_scores, farm_exact_accounts, farm_retro_hide, farm_near_pairs, gate_bands, band_stats, action_plan, label_eval):
+    QUERIES[f"{_f.__name__}_whole"] = partial(_f, chars=None)
+    if _f is not farm_near_pairs:  # all pairs of whole texts are too many for SQL: a fixture holds it in the tests
+        ORACLE_SQL[f"{_f.__name__}_whole"] = ORACLE_SQL[_f.__name__].replace("left(text, 280) AS text", "text")

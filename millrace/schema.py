@@ -12,13 +12,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Timeline posts from documents: a post's text is the first 280 characters; seq is the id, a minute apart."""
+def posts(spark: SparkSession, sf_dir: str, chars: int | None = POST_CHARS) -> DataFrame:
+    """Timeline posts from documents: a post's text is the first ``chars`` characters, or all where None; seq is the id, a minute apart."""
     d = table(spark, sf_dir, "documents")
     return d.select(
         F.col("doc_id").alias("id"),
         F.col("source").alias("handle"),
-        F.left("text", F.lit(POST_CHARS)).alias("text"),
+        (F.col("text") if chars is None else F.left("text", F.lit(chars))).alias("text"),
         F.col("lang"),
         F.lit("timeline").alias("context"),
         F.col("doc_id").alias("seq"),

@@ -1,0 +1,46 @@
+"""Timeline queries over whole documents: what stands after character 280 counts."""
+
+import itertools
+import random
+
+import pytest
+
+import __spark_entry__ as entry
+
+WHOLE = "farm_keys shingle_count rule_hits prescreen_scores farm_exact_accounts farm_retro_hide farm_near_pairs gate_bands band_stats action_plan label_eval state_render".split()
+
+
+@pytest.fixture(scope="module")
+def late(spark, tmp_path_factory):
+    """Documents that differ, or say something, only after their first 280 characters."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghijklmnoprstuvw") for _ in range(6))
+    head = " ".join(word() for _ in range(60))
+    other = " ".join(word() for _ in range(120))
+    texts = [f"{head} DM for menu", f"{head} {other}", f"{head} {other} end", f"{head} {other}", " ".join(word() for _ in range(900))]
+    at = tmp_path_factory.mktemp("late")
+    spark.createDataFrame([(i, t, "en", f"s{i}") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{at}/documents.parquet")
+    return str(at), texts
+
+
+def test_every_query_on_posts_has_a_whole_form():
+    assert {f"{n}_whole" for n in WHOLE} <= set(entry.queries())
+    assert {f"{n}_whole" for n in WHOLE} - set(entry.oracle_sql()) == {"farm_near_pairs_whole"}
+    assert not any("280" in entry.oracle_sql()[f"{n}_whole"] for n in WHOLE if n != "farm_near_pairs")
+
+
+def test_late_text_counts(spark, late):
+    at, texts = late
+    run = lambda name: {r["id"]: r for r in entry.queries()[name](spark, at).collect()}
+    assert run("prescreen_scores_whole")[0]["score"] > 0 == run("prescreen_scores")[0]["score"]
+    keys = {i: r["farm_key"] for i, r in run("farm_keys_whole").items()}
+    assert keys == {i: "".join(c for c in t.lower() if c.isalnum()) for i, t in enumerate(texts)}
+    assert set(run("farm_retro_hide_whole")) == {1, 3}
+    states = {i: f"@s{i}\nlang: en\n{t}" for i, t in enumerate(texts)}
+    assert {i: r["state"] for i, r in run("state_render_whole").items()} == {i: s if len(s) <= 4000 else s[:3999] + "…" for i, s in states.items()}
+    grams = {i: {k[j : j + 3] for j in range(len(k) - 2)} for i, k in keys.items() if i != 3}
+    near = {
+        (a, b) for a, b in itertools.combinations(sorted(grams), 2)
+        if 2 * min(len(keys[a]), len(keys[b])) >= max(len(keys[a]), len(keys[b])) and len(grams[a] & grams[b]) >= 0.8 * min(len(grams[a]), len(grams[b]))
+    }
+    assert near and {(r["a"], r["b"]) for r in entry.queries()["farm_near_pairs_whole"](spark, at).collect()} == near
