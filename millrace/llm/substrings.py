@@ -13,8 +13,8 @@ a task keeps the windows of one anchor at a time.
 
 Results: one row per row of the table; a null text has no words (kept_sha256 is that of an empty string); words are
 kept unchanged; rows that repeat an id and text are the same place, and none of them makes the other a duplicate; a
-null id comes before all others.  Other columns are not read.  Identity of windows rests on 96 hash bits, 64 of the
-window's smallest gram and 32 of the window.
+null id comes before all others.  Other columns are not read.  Identity of windows rests on two hashes of 64 bits, that of
+the window's smallest gram and that of all its words; within a hot anchor, where the first says nothing, 64 bits decide.
 """
 
 from __future__ import annotations
@@ -38,13 +38,13 @@ NULL_ID = -(2**63)
 
 
 def window_table(raw: np.ndarray, at: np.ndarray, ids: np.ndarray, size: int, gram: int) -> dict[str, np.ndarray]:
-    """Every window: id and first word, the hash of its smallest gram, where in it that is, and 32 bits of its own hash."""
+    """Every window: id and first word, the hash of its smallest gram, and the 64 bits of its own hash."""
     start, end, of = W.words(raw, at)
     word = W.hashes(raw, start, end)
     n = len(word) - size + 1
     if n <= 0:
         e = np.zeros(0, np.int64)
-        return {"doc": e, "start": e, "h": e.view(U), "w": e.astype(np.uint32)}
+        return {"doc": e, "start": e, "h": e.view(U), "w": e.view(U)}
     first = np.searchsorted(of, np.arange(len(at) - 1))
     place = np.arange(len(word)) - first[of]
     grams = W.windows(word, gram)
@@ -56,17 +56,16 @@ def window_table(raw: np.ndarray, at: np.ndarray, ids: np.ndarray, size: int, gr
         width *= 2
     low = np.minimum(low[:n], low[span - width : span - width + n])
     inside = of[size - 1 :] == of[:n]
-    return {"doc": ids[of[:n][inside]], "start": place[:n][inside], "h": low[inside], "w": (own[inside] >> U(32)).astype(np.uint32)}
+    return {"doc": ids[of[:n][inside]], "start": place[:n][inside], "h": low[inside], "w": own[inside]}
 
 
 def _first_of_each(t: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Order of windows by (h, w, doc, start), and which of them start later than the first with the same h and w."""
-    hw = W.mix(t["h"]) ^ t["w"].astype(U)
-    order = np.lexsort((t["start"], t["doc"], hw))
-    hw, doc, start = hw[order], t["doc"][order], t["start"][order]
-    lead = np.ones(len(hw), bool)
-    lead[1:] = hw[1:] != hw[:-1]
-    head = np.maximum.accumulate(np.where(lead, np.arange(len(hw)), 0))
+    order = np.lexsort((t["start"], t["doc"], t["w"], t["h"]))
+    h, w, doc, start = (t[k][order] for k in ("h", "w", "doc", "start"))
+    lead = np.ones(len(h), bool)
+    lead[1:] = (h[1:] != h[:-1]) | (w[1:] != w[:-1])
+    head = np.maximum.accumulate(np.where(lead, np.arange(len(h)), 0))
     return order, (doc != doc[head]) | (start != start[head])
 
 
@@ -108,7 +107,7 @@ def blocks(docs: DataFrame, size: int, gram: int) -> DataFrame:
                 fresh = np.ones(len(h), bool)
                 fresh[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)
                 edge = np.append(np.flatnonzero(fresh), len(h)).astype(np.int32)
-                payload = pa.BinaryArray.from_buffers(pa.binary(), len(edge) - 1, [None, pa.py_buffer(edge * 4), pa.py_buffer(w.tobytes())])
+                payload = pa.BinaryArray.from_buffers(pa.binary(), len(edge) - 1, [None, pa.py_buffer(edge * 8), pa.py_buffer(w.tobytes())])
                 yield _batch(h[edge[:-1]].view(np.int64), doc[edge[:-1]], start[edge[:-1]], payload)
 
     return docs.mapInArrow(run, "h long, doc long, start int, w binary")
@@ -132,7 +131,7 @@ def _look_up(sorted_blocks: DataFrame) -> DataFrame:
             if not b.num_rows:
                 continue
             h, w = b.column("h").to_numpy().view(U), b.column("w")
-            offsets = np.frombuffer(w.buffers()[1], np.int32)[w.offset : w.offset + len(w) + 1].astype(np.int64) // 4
+            offsets = np.frombuffer(w.buffers()[1], np.int32)[w.offset : w.offset + len(w) + 1].astype(np.int64) // 8
             n = np.diff(offsets)
             each = np.repeat(np.arange(len(h)), n)
             shared = np.zeros(len(h), bool)  # anchors that stand alone have nothing to look up
@@ -144,7 +143,7 @@ def _look_up(sorted_blocks: DataFrame) -> DataFrame:
                 "h": h[each][take],
                 "doc": b.column("doc").to_numpy()[each][take],
                 "start": (b.column("start").to_numpy()[each] + np.arange(len(each)) - np.repeat(offsets[:-1] - offsets[0], n))[take],
-                "w": np.frombuffer(w.buffers()[2], np.uint32)[offsets[0] : offsets[-1]][take],
+                "w": np.frombuffer(w.buffers()[2], U)[offsets[0] : offsets[-1]][take],
             }
             if open_h is not None and open_h == h[0]:
                 t = {k: np.concatenate([seen[k], t[k]]) for k in t}
@@ -175,8 +174,8 @@ def dedup_substrings(docs: DataFrame, size: int = WINDOW, gram: int = GRAM, id_c
     named = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "text")
     found = blocks(named, size, gram)
     # One shuffle takes blocks to their anchor, and runs that are decided to anywhere.
-    dealt = found.withColumn("p", F.when(F.col("w").isNull(), F.xxhash64("doc")).otherwise(F.col("h"))).repartition("p")
-    marks = _look_up(dealt.drop("p").sortWithinPartitions("h", "doc", "start")).groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    dealt = found.repartition(F.when(F.col("w").isNull(), F.xxhash64("doc")).otherwise(F.col("h")))
+    marks = _look_up(dealt.sortWithinPartitions("h", "doc", "start")).groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
