@@ -233,10 +233,13 @@ def keyword_theta_join(spark, d):
         listed = keys.groupBy().agg(F.collect_list(F.struct("item_id", "k")).alias("keys"))
         held = F.array_min(F.transform(F.filter("keys", lambda x: F.contains(F.col("t"), x["k"])), lambda x: x["item_id"]))
         return low.crossJoin(F.broadcast(listed)).select("doc_id", held.alias("item_id")).where("item_id is not null")
-    # A longer one meets the texts in an equi-join of its first eight characters with their eight-grams.
-    low = low.where(F.length("t") >= 8)
-    grams = low.select("doc_id", "t", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t") - 7), lambda i: F.substring("t", i, F.lit(8))))).alias("g"))
-    found = grams.join(keys.withColumn("g", F.left("k", F.lit(8))), "g").where(F.contains("t", "k"))
+    # A longer one meets the texts in an equi-join of its first eight characters, or of all if it has fewer, with their grams of that length.
+    keys = keys.withColumn("g", F.left("k", F.lit(8)))
+    found = low.crossJoin(keys.where("k = ''").groupBy().agg(F.min("item_id").alias("item_id"))).where("t is not null and item_id is not null").select("doc_id", "item_id")
+    for n in range(1, 9):
+        long = low.where(F.length("t") >= n)
+        grams = long.select("doc_id", "t", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t") - (n - 1)), lambda i: F.substring("t", i, F.lit(n))))).alias("g"))
+        found = found.union(grams.join(keys.where(F.length("g") == n), "g").where(F.contains("t", "k")).select("doc_id", "item_id"))
     return found.groupBy("doc_id").agg(F.min("item_id").alias("item_id"))
 
 

@@ -1,0 +1,19 @@
+"""Both ways of keyword_theta_join give the same, for keywords of any length."""
+
+from millrace import queries as core
+
+
+def test_long_lists_find_short_keywords(spark, tmp_path, monkeypatch):
+    texts = ["A cat sat here", "dog", "the quick brown fox jumps", "", None, "ab"]
+    words = ["cat", "DOG", "quick brown fox", "jumps", "b", "eight ch", "brown fox is not there"]
+
+    def both(words):
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        spark.createDataFrame(list(enumerate(words)), "item_id long, text string").write.mode("overwrite").parquet(f"{tmp_path}/benchmark.parquet")
+        for bound in (2000, 0):
+            monkeypatch.setattr(core, "KEYWORDS", bound)
+            yield sorted(map(tuple, core.keyword_theta_join(spark, str(tmp_path)).select("doc_id", "item_id").collect()))
+
+    assert list(both(words)) == [[(0, 0), (1, 1), (2, 2), (5, 4)]] * 2
+    short, long = both([*words, ""])
+    assert short == long and {d for d, _ in long} == {0, 1, 2, 3, 5}
