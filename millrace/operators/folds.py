@@ -1,79 +1,180 @@
-"""Replies of a thread: low-information replies fold under the first one; candidates and references for comparison."""
+"""Replies of a thread: low-information replies fold under the first one; candidates, references and model answers for the rest.
+
+``replies`` has thread_id, seq (the order of observation), id, handle, text and context, with class or band where a
+function says so.  Nothing here joins a whole thread with itself: pairs meet inside bounded stretches of seq.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.text import farm_text, overlap, shingles
-
-#: The classes in their order, which breaks ties, each with words of our own choice.
-CLASSES = {
-    "anger": ("angry", "furious", "annoying", "生气", "离谱"),
-    "joy": ("haha", "lol", "yay", "哈哈", "太好了"),
-    "greeting": ("hello", "hi", "gm", "goodmorning", "早上好", "你好"),
-    "support": ("agree", "yes", "ok", "exactly", "support", "支持", "同意", "1"),
-    "oppose": ("disagree", "no", "反对", "不同意"),
-    "sadness": ("sad", "sorry", "难过", "伤心"),
-    "praise": ("nice", "great", "beautiful", "awesome", "好看", "漂亮"),
-    "wish": ("want", "please", "想去", "期待"),
-    "participation": ("joined", "done", "in", "参加", "已三连"),
-}
-MAX_CHARS, CORE_CHARS = 60, 12
-
-
-def low_signal_class(text: Column) -> Column:
-    """Class of a reply that is nothing but a core word, once or repeated; ``emoji`` for text without letters; else null."""
-    core = farm_text(text)
-    out = F.when((F.length(text) > MAX_CHARS) | text.rlike(r"[0-9]{2,}|https?://"), F.lit(None).cast("string"))
-    out = out.when((core == "") & text.rlike(r"\S"), "emoji").when(F.length(core) > CORE_CHARS, None)
-    for name, words in CLASSES.items():
-        out = out.when(core.rlike(f"^(?:{'|'.join(words)}){{1,3}}$"), name)
-    return out
-
-
-def thread_fold(replies: DataFrame) -> DataFrame:
-    """Each classified reply's group as of its own place: the representative, the size so far, and whether it folds."""
-    low = replies.where("class is not null and not thread_root")
+from millrace.functions.text import farm_key, farm_text, group_key, overlap, preview, shingles
+from millrace.operators.emotion import CLASSES, LABELS
+from millrace.settings import Folding
+
+ORDER = (*CLASSES, "emoji")
+
+
+def fold_allowed(context: Column, s: Folding = Folding()) -> Column:
+    return F.when(context == "reply", F.lit(s.fold_in_replies)).otherwise(F.lit(s.fold_in_feed))
+
+
+def fold_scope(s: Folding = Folding()) -> Column:
+    """thread, feed, or null where a post takes no part: roots, switches that are off, replies without a thread."""
+    inside = (F.col("context") == "reply") | F.col("thread_id").isNotNull()
+    root = F.col("thread_root") | F.coalesce(F.col("id").cast("string") == F.col("thread_id").cast("string"), F.lit(False))
+    on = F.lit(s.enabled and s.emotion) & F.when(inside, s.fold_in_replies).otherwise(s.fold_in_feed)
+    return F.when(root | ~on | F.col("class").isNull() | (inside & F.col("thread_id").isNull()), None).when(inside, "thread").otherwise("feed")
+
+
+def breakdown(classes: Column) -> Column:
+    """Map of class to count as a string, most first, ties in the order of the classes; empty for a single class."""
+    ranked = F.array_sort(F.transform(F.map_entries(classes), lambda e: F.struct((-e["value"]).alias("n"), F.array_position(F.array(*map(F.lit, ORDER)), e["key"]).alias("o"))))
+    name = lambda e: F.element_at(F.array(*(F.lit(LABELS[c]) for c in ORDER)), e["o"].cast("int"))
+    shown = F.transform(ranked, lambda e: F.concat_ws(" ", name(e), (-e["n"]).cast("string")))
+    return F.when(F.size(classes) > 1, F.array_join(shown, " · ")).otherwise("")
+
+
+def thread_fold(replies: DataFrame, s: Folding = Folding()) -> DataFrame:
+    """Each classified post's fold as of its own place: scope, representative and its author, size, running counts by class.
+
+    One window over each thread, ordered by seq, carries all of it; posts outside threads fold by themselves.
+    """
+    low = replies.withColumn("scope", fold_scope(s)).where("scope is not null")
+    feed = F.col("scope") == "feed"
     w = Window.partitionBy("thread_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    inside = low.where(~feed)
     n = F.count("*").over(w)
-    return low.select("thread_id", "seq", "class", n.alias("group_size"), F.first("seq").over(w).alias("representative"), (n > 1).alias("folded"))
+    counts = F.array(*(F.struct(F.lit(c).alias("key"), F.count_if(F.col("class") == c).over(w).alias("value")) for c in ORDER))
+    first = F.first(F.struct("id", "handle")).over(w)
+    threads = inside.select("*", n.alias("group_size"), first.alias("first"), F.map_from_entries(F.filter(counts, lambda x: x["value"] > 0)).alias("classes"))
+    alone = F.map_from_entries(F.array(F.struct(F.col("class").alias("key"), F.lit(1).cast("long").alias("value"))))
+    feeds = low.where(feed).select("*", F.lit(1).cast("long").alias("group_size"), F.lit(None).cast(threads.schema["first"].dataType).alias("first"), alone.alias("classes"))
+    both, later = threads.unionByName(feeds), F.col("group_size") > 1
+    key = F.when(F.col("scope") == "feed", F.concat(F.lit("em:feed:"), "class")).otherwise(F.concat(F.lit("em:"), F.col("thread_id").cast("string"), F.lit(":low")))
+    lead = (F.col("scope") == "thread") & ~later & F.lit(s.mode == "fold")
+    return both.select(
+        "thread_id", "seq", "id", "class", "scope", key.alias("group_key"), "group_size", F.when(later, F.col("first.id")).alias("duplicate_of"),
+        F.when(later, F.col("first.handle")).alias("duplicate_of_handle"), lead.alias("representative"), (~lead).alias("folded"), "classes",
+        breakdown(F.col("classes")).alias("class_breakdown"), F.when(F.col("scope") == "feed", preview(F.col("text"))).alias("content_preview"),
+    )
 
 
 def class_breakdown(replies: DataFrame) -> DataFrame:
     return replies.where("class is not null").groupBy("thread_id", "class").agg(F.count("*").alias("replies"))
 
 
-def beta_candidates(replies: DataFrame, window: int = 60, least: float = 0.30, k: int = 6) -> DataFrame:
-    """For each reply the ``k`` most similar earlier ones of its thread within the last ``window`` turns."""
-    grams = replies.select("thread_id", "turn", "seq", shingles(farm_text(F.left("text", F.lit(280)))).alias("g"))
-    x, y = grams.alias("x"), grams.alias("y")
-    near = (F.col("x.thread_id") == F.col("y.thread_id")) & (F.col("y.turn") < F.col("x.turn")) & (F.col("y.turn") >= F.col("x.turn") - (window - 1))
-    pairs = x.join(y, near).select(F.col("x.seq").alias("seq"), F.col("y.seq").alias("candidate"), F.round(overlap(F.col("x.g"), F.col("y.g")), 6).alias("similarity"))
+def _blocks(rows: DataFrame, order: str, size: int, ahead: bool) -> DataFrame:
+    """Rows with the number of their stretch of ``size``; with ``ahead`` each also stands in the next one."""
+    block = F.floor(F.col(order) / size)
+    return rows.withColumn("block", F.explode(F.array(block, block + 1)) if ahead else block)
+
+
+def recent(replies: DataFrame) -> DataFrame:
+    """The window's entries: each post once, at its latest observation."""
+    latest = Window.partitionBy("id").orderBy(F.desc("seq"))
+    return replies.withColumn("_n", F.row_number().over(latest)).where("_n = 1").drop("_n")
+
+
+def beta_candidates(replies: DataFrame, s: Folding = Folding()) -> DataFrame:
+    """For each post up to ``candidates`` earlier ones among the last ``window`` observed that it may repeat, best first.
+
+    A candidate is similar, or less so in the same thread, or has the same campaign key.  ``place`` (1, 2, ...) counts
+    observations.  Posts meet in stretches of ``window`` places, each post standing in its own stretch and the next, so
+    the join is an equi-join whose groups hold twice the window at most.
+    """
+    text = farm_text(F.col("text"))
+    rows = replies.select("thread_id", "place", "seq", "id", text.alias("normal"), farm_key(F.col("text")).alias("campaign"))
+    rows = rows.withColumn("grams", shingles(F.col("normal")))
+    x, y = _blocks(rows, "place", s.window, False).alias("x"), _blocks(rows, "place", s.window, True).alias("y")
+    back = F.col("x.place") - F.col("y.place")
+    pairs = x.join(y, (F.col("x.block") == F.col("y.block")) & back.between(1, s.window - 1) & (F.col("x.id") != F.col("y.id")))
+    blank = (F.col("x.normal") == "") | (F.col("y.normal") == "")
+    alike = F.when(blank, 0.0).otherwise(F.round(overlap(F.col("x.grams"), F.col("y.grams")), 6))
+    pairs = pairs.select(
+        F.col("x.seq").alias("seq"), F.col("y.seq").alias("candidate"), F.col("y.id").alias("candidate_id"), alike.alias("similarity"),
+        F.coalesce(F.col("x.thread_id") == F.col("y.thread_id"), F.lit(False)).alias("same_thread"), F.coalesce(F.col("x.campaign") == F.col("y.campaign"), F.lit(False)).alias("same_campaign"),
+    )
+    good = (F.col("similarity") >= s.similar) | (F.col("same_thread") & (F.col("similarity") >= s.similar_in_thread)) | F.col("same_campaign")
     rank = F.row_number().over(Window.partitionBy("seq").orderBy(F.desc("similarity"), "candidate"))
-    return pairs.where(F.col("similarity") >= least).withColumn("rank", rank).where(F.col("rank") <= k).select("seq", "candidate", "similarity", "rank")
-
-
-def alpha_references(replies: DataFrame, most: int = 12, least: int = 3) -> DataFrame:
-    """Median similarity of each reply to the latest others of its thread, where there are enough of them."""
-    grams = replies.select("thread_id", "seq", shingles(farm_text(F.left("text", F.lit(280)))).alias("g"))
-    x, y = grams.alias("x"), grams.alias("y")
-    pairs = x.join(y, (F.col("x.thread_id") == F.col("y.thread_id")) & (F.col("x.seq") != F.col("y.seq")))
-    rank = F.row_number().over(Window.partitionBy("x.seq").orderBy(F.desc("y.seq")))
-    latest = pairs.withColumn("rank", rank).where(F.col("rank") <= most).select(F.col("x.seq").alias("seq"), overlap(F.col("x.g"), F.col("y.g")).alias("s"))
-    return latest.groupBy("seq").agg(F.count("*").alias("references"), F.round(F.median("s"), 6).alias("median_similarity")).where(F.col("references") >= least)
+    return pairs.where(good).withColumn("rank", rank).where(F.col("rank") <= s.candidates)
 
 
-def read_beta(answered: DataFrame, confirm: float = 0.70) -> DataFrame:
-    """Groups from the model's answers (seq, candidate, noul) on candidates: the earliest confirmed one stands for the group."""
-    sure = answered.where(F.col("noul") >= confirm).groupBy("seq")
-    return sure.agg(F.min("candidate").alias("representative"), (F.count("*") + 1).alias("group_size"), F.round(F.max("noul"), 3).alias("similarity"))
+def alpha_references(replies: DataFrame, s: Folding = Folding()) -> DataFrame:
+    """Number of references and median similarity of each reply to the latest others of its thread that stayed visible.
 
-
-def read_alpha(references: DataFrame, confirm: float = 0.70, median: float = 0.5) -> DataFrame:
-    """Replies unlike their references (seq, median_similarity, majority, contrast) that the model sets apart, with a score."""
-    apart = references.where((F.col("majority") >= confirm) & (F.col("median_similarity") <= median) & F.col("contrast").isNotNull())
-    return apart.select("seq", F.round(F.least(F.greatest(F.col("contrast") / 3, F.lit(0.0)), F.lit(1.0)), 3).alias("score"))
+    A thread's references are its latest ``most_references`` + 1 visible replies, one more than needed as a reply is not
+    its own: they are cut out by rank before the join, so a busy thread costs that many pairs a reply and no more.
+    """
+    rows = replies.where("thread_id is not null").select("thread_id", "seq", "id", "band", farm_text(F.col("text")).alias("normal"))
+    latest = Window.partitionBy("thread_id").orderBy(F.desc("seq"))
+    kept = rows.where("coalesce(band, 'ignore') = 'ignore'").withColumn("rank", F.row_number().over(latest)).where(F.col("rank") <= s.most_references + 1)
+    x, y = rows.withColumn("grams", shingles(F.col("normal"))).alias("x"), kept.withColumn("grams", shingles(F.col("normal"))).alias("y")
+    pairs = x.join(y, (F.col("x.thread_id") == F.col("y.thread_id")) & (F.col("x.seq") != F.col("y.seq")))
+    blank = (F.col("x.normal") == "") | (F.col("y.normal") == "")
+    alike = F.when(blank, 0.0).otherwise(overlap(F.col("x.grams"), F.col("y.grams")))
+    ranked = pairs.groupBy(F.col("x.seq").alias("seq")).agg(F.sort_array(F.collect_list(F.struct(F.col("y.rank").alias("rank"), alike.alias("s")))).alias("all"))
+    first = F.transform(F.slice("all", 1, s.most_references), lambda p: p["s"])
+    return ranked.select("seq", F.size(first).alias("references"), F.round(median(first), 6).alias("median_similarity"))
+
+
+def median(values: Column) -> Column:
+    """Median of an array; 0 where it is empty."""
+    n = F.size(values)
+    middle = lambda v: (F.get(v, F.floor((n - 1) / 2).cast("int")) + F.get(v, F.floor(n / 2).cast("int"))) / 2
+    return F.when(n > 0, middle(F.array_sort(values))).otherwise(0.0)
+
+
+def plan_calls(replies: DataFrame, candidates: DataFrame, references: DataFrame, s: Folding = Folding()) -> DataFrame:
+    """seq, n_candidates, n_references, beta_allowed, alpha_applicable, call, reason: whether a post needs the model at all."""
+    counted = candidates.groupBy("seq").agg(F.count("*").cast("int").alias("n"))
+    rows = replies.select("seq", "context", "thread_id").join(counted, "seq", "left").join(references.select("seq", "references"), "seq", "left")
+    allowed = F.lit(s.beta) & fold_allowed(F.col("context"), s)
+    refs = F.coalesce("references", F.lit(0))
+    why = F.when(F.lit(not s.alpha), "alpha_disabled").when(F.lit(s.alpha_only_in_replies) & (F.col("context") != "reply"), "not_reply")
+    why = why.when(F.col("thread_id").isNull(), "no_thread").when(refs < s.least_references, "not_enough_references")
+    rows = rows.select("seq", F.when(allowed, F.coalesce("n", F.lit(0))).otherwise(0).alias("n_candidates"), refs.alias("n_references"), allowed.alias("beta_allowed"), why.isNull().alias("alpha_applicable"))
+    call = F.lit(s.enabled) & ((F.col("n_candidates") > 0) | F.col("alpha_applicable"))
+    reason = F.when(F.lit(not s.enabled), "semantics_disabled").when(F.lit(not s.beta), "beta_disabled").when(~F.col("beta_allowed"), "beta_fold_disabled").otherwise("no_candidates")
+    return rows.withColumn("call", call).withColumn("reason", F.when(~call, reason))
+
+
+def read_beta(answered: DataFrame, posts: DataFrame, s: Folding = Folding()) -> DataFrame:
+    """Groups from the model's answers (seq, candidate, similarity, noul, choice): the earliest confirmed candidate stands for the group.
+
+    ``posts`` (seq, id, text) tells verbatim repeats from paraphrases where the model names no kind.
+    """
+    kinds = ("verbatim", "paraphrase", "same_claim", "emotion")
+    named = F.lower(F.trim("choice"))
+    sure = answered.where(F.col("noul").between(s.confirm, 1.0)).withColumn("named", F.when(named.isin(*kinds), named))
+    earliest = F.min_by(F.struct("candidate", "named", F.col("similarity").alias("local")), "candidate")
+    groups = sure.groupBy("seq").agg(earliest.alias("e"), (F.count("*") + 1).alias("group_size"), F.round(F.max("noul"), 3).alias("similarity"))
+    text = posts.select("seq", "id", farm_text(F.col("text")).alias("normal"))
+    own, other = text.select("seq", F.col("normal").alias("own")), text.select(F.col("seq").alias("candidate"), F.col("id").alias("duplicate_of"), F.col("normal").alias("theirs"))
+    rows = groups.select("seq", "e.candidate", "e.named", "e.local", "group_size", "similarity").join(own, "seq").join(other, "candidate")
+    told = F.when((F.col("own") != "") & (F.col("own") == F.col("theirs")), "verbatim").when(F.col("local") >= s.paraphrase, "paraphrase").otherwise("same_claim")
+    return rows.select(
+        "seq", F.col("candidate").alias("representative"), "duplicate_of", group_key(F.col("theirs"), F.col("duplicate_of")).alias("group_key"), "group_size", "similarity",
+        F.coalesce("named", told).alias("kind"),
+    )
+
+
+def read_alpha(references: DataFrame, s: Folding = Folding()) -> DataFrame:
+    """Replies unlike their references (seq, references, median_similarity, majority, contrast) that the model sets apart, with a score."""
+    apart = (F.col("references") >= s.least_references) & F.col("majority").between(s.confirm, 1.0) & (F.col("median_similarity") <= s.median) & F.col("contrast").isNotNull()
+    return references.where(apart).select("seq", F.round(F.least(F.greatest(F.col("contrast") / 3, F.lit(0.0)), F.lit(1.0)), 3).alias("score"), F.col("references").alias("reference_count"))
+
+
+def read_both(posts: DataFrame, beta: DataFrame, alpha: DataFrame, local: DataFrame) -> DataFrame:
+    """seq, kind, folded, alpha of each post: a mark keeps a group from folding, and a local fold (seq, folded) steps in where there is neither."""
+    rows = posts.select("seq").join(beta.select("seq", F.col("kind").alias("beta_kind")), "seq", "left")
+    rows = rows.join(alpha.select("seq", F.lit(True).alias("hit")), "seq", "left").join(local.select("seq", F.col("folded").alias("local")), "seq", "left")
+    hit = F.coalesce("hit", F.lit(False))
+    free = F.col("beta_kind").isNull() & ~hit
+    kind = F.when(F.col("beta_kind").isNotNull(), F.col("beta_kind")).when(free & F.col("local").isNotNull(), "emotion")
+    folded = F.when(F.col("beta_kind").isNotNull(), ~hit).when(free, F.coalesce("local", F.lit(False))).otherwise(False)
+    return rows.select("seq", kind.alias("kind"), folded.alias("folded"), hit.alias("alpha"))
 
 
 def display_state(band: Column, alpha: Column, emotion: Column, folded: Column) -> Column:

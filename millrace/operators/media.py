@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,8 +61,28 @@ def best_image(judged: DataFrame, most: int = 2) -> DataFrame:
     return kept.groupBy("post_id").agg(best.alias("best")).select("post_id", "best.*")
 
 
+def suspicion(stats: DataFrame) -> DataFrame:
+    """``verdict`` as the flags and the reason that the gate reads."""
+    v = F.col("verdict")
+    reason = F.when(v == "flat", "flat_image_ignored").when(v == "blocked", "skin_ratio_blocked").when(v == "suspicious", "skin_ratio_suspicious")
+    return stats.withColumns({"media_suspicious": v.isin("blocked", "suspicious"), "media_blocked": v == "blocked", "media_reason": reason})
+
+
+def json_object(raw: Column) -> Column:
+    """The first of these that is a JSON object: the reply as such, what stands in a code fence, what lies between the outermost braces."""
+    tiers = (F.trim(raw), F.trim(F.regexp_extract(raw, r"(?s)```(?:json)?\s*(.*?)```", 1)), F.regexp_extract(raw, r"(?s)(\{.*\})", 1))
+    good = lambda t: F.when(t.startswith("{") & F.try_parse_json(t).isNotNull(), t)
+    return F.coalesce(*(good(t) for t in tiers))
+
+
 def vision_answer(raw: Column) -> Column:
-    """Probability of adult content from a model's reply: JSON as such, in a fence, or between the outermost braces; else null."""
-    parsed = F.from_json(F.regexp_extract(raw, r"(?s)(\{.*\})", 1), "adult boolean, confidence double")
+    """Probability of adult content from a model's reply; null where there is no answer."""
+    parsed = F.from_json(json_object(raw), "adult boolean, confidence double")
     sure = F.least(F.greatest(F.coalesce(parsed["confidence"], F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
     return F.when(parsed["adult"], F.greatest(sure, F.lit(0.5))).when(~parsed["adult"], F.least(1 - sure, F.lit(0.5)))
+
+
+def with_vision(images: DataFrame, classify: Callable[[Iterator[pd.Series]], Iterator[pd.Series]]) -> DataFrame:
+    """Adds ``vision_adult`` of each image (column ``content``) by a given classifier, which maps batches of bytes to a model's replies."""
+    asked = F.pandas_udf(classify, "string")
+    return images.withColumn("vision_adult", vision_answer(asked(F.col("content"))))

@@ -1,8 +1,10 @@
-"""Counts in sliding windows, day counters, and admission under a limit."""
+"""Counts in sliding windows, day counters, and admission under limits."""
 
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator, Mapping
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -23,27 +25,91 @@ def day_counts(events: DataFrame, kind: str, ts: str) -> DataFrame:
     return events.groupBy(F.to_date(ts).alias("day"), kind).agg(F.count("*").alias("n"))
 
 
-def admit(events: DataFrame, key: str, ts: str, order: str, limit: int, seconds: int) -> DataFrame:
-    """Which events a sliding limit admits; only admitted ones count, so it is a fold over each key's events in order.
+def running_day_counts(events: DataFrame, kind: str, ts: str, order: str) -> DataFrame:
+    """Each event's number among those of its kind and day, as a counter that starts anew each day."""
+    w = Window.partitionBy(kind, F.to_date(ts)).orderBy(ts, order)
+    return events.withColumn("so_far", F.row_number().over(w))
+
+
+@dataclass(frozen=True)
+class Limit:
+    """At most ``most`` admissions within ``seconds``, or within a UTC day where that is None."""
+
+    most: int
+    seconds: int | None = None
+
+
+#: The limits of each kind of call, by the counters that it draws on.  A probe looks at the model's day but draws no minute of it.
+CALLS: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
+    "model": (("model_minute", "model_day"), ("model_minute", "model_day")),
+    "triage": (("triage_minute", "triage_day", "model_day"), ("triage_minute", "triage_day", "model_day")),
+    "semantics": (("semantics_minute", "semantics_day", "model_minute", "model_day"), ("semantics_minute", "semantics_day", "model_minute", "model_day")),
+    "media": (("media_minute",), ("media_minute",)),
+    "action": (("action_hour", "action_day"), ("action_hour", "action_day")),
+}
+LIMITS: dict[str, Limit] = {
+    "model_minute": Limit(30, 60), "model_day": Limit(800), "triage_minute": Limit(20, 60), "triage_day": Limit(600), "semantics_minute": Limit(10, 60),
+    "semantics_day": Limit(300), "media_minute": Limit(60, 60), "action_hour": Limit(20, 3600), "action_day": Limit(100),
+}
+#: Calls of the model's day that filtering keeps for itself.
+RESERVE = {"semantics": {"model_day": 50}}
+DAY = 86_400_000_000
+
+
+class _Counter:
+    """Admissions that still count: at most ``limit.most`` times are held."""
+
+    def __init__(self, limit: Limit) -> None:
+        self.limit, self.held, self.day, self.n = limit, deque(), None, 0
+
+    def room(self, at: int, reserve: int = 0) -> bool:
+        if self.limit.seconds is None:
+            if at // DAY != self.day:
+                self.day, self.n = at // DAY, 0
+            return self.n < self.limit.most - reserve
+        while self.held and self.held[0] <= at - self.limit.seconds * 1_000_000:
+            self.held.popleft()
+        return len(self.held) < self.limit.most - reserve
 
-    A key's events are dealt by day first (``seconds`` being less than a day): a fold needs the day and the tail before
-    it, so it starts at gaps of at least ``seconds``, where the window is empty, and a busy key is many groups.
+    def take(self, at: int) -> None:
+        self.n += 1
+        if self.limit.seconds is not None:
+            self.held.append(at)
+
+
+def _folded(events: DataFrame, key: str, ts: str, order: str, kind: Column, limits: Mapping[str, Limit], calls: Mapping[str, tuple], reserve: Mapping[str, Mapping[str, int]]) -> DataFrame:
+    """order, admitted of every event: one pass over events sorted by key and time, batch by batch.
+
+    What is carried on is one key's counters, which hold no more times than their limits, so a busy key costs no memory.
     """
-    w = Window.partitionBy(key).orderBy(ts, order)
-    gap = micros(ts) - F.lag(micros(ts)).over(w)
-    run = F.sum(F.when(gap < seconds * 1_000_000, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    numbered = events.select(key, ts, order).withColumn("run", run).withColumn("at", micros(ts))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", order])
-        recent: deque = deque()
-        out = []
-        for at in pdf["at"]:
-            while recent and recent[0] <= at - seconds * 1_000_000:
-                recent.popleft()
-            out.append(len(recent) < limit)
-            if out[-1]:
-                recent.append(at)
-        return pdf[[order]].assign(admitted=out)
-
-    return numbered.groupBy(key, "run").applyInPandas(fold, f"{order} long, admitted boolean")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, counters = object(), {}
+        for b in batches:
+            out = []
+            for k, at, call in zip(b["k"], b["at"], b["kind"]):
+                if k != current:
+                    current, counters = k, {name: _Counter(limit) for name, limit in limits.items()}
+                checked, drawn = calls.get(call, ((), ()))
+                held_back = reserve.get(call, {})
+                # Every counter is asked, so that a day's turn is seen by all of them.
+                good = all([counters[c].room(at, held_back.get(c, 0)) for c in checked])
+                if good:
+                    for c in drawn:
+                        counters[c].room(at)
+                        counters[c].take(at)
+                out.append(good)
+            yield pd.DataFrame({order: b["o"], "admitted": pd.Series(out, dtype=bool)})
+
+    rows = events.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("k"), micros(ts).alias("at"), F.col(order).alias("o"), kind.alias("kind"))
+    return rows.repartition("k").sortWithinPartitions("k", "at", "o").mapInPandas(run, f"{order} long, admitted boolean")
+
+
+def admit(events: DataFrame, key: str, ts: str, order: str, limit: int, seconds: int) -> DataFrame:
+    """Which events a sliding limit admits; only admitted ones count."""
+    return _folded(events, key, ts, order, F.lit("call"), {"all": Limit(limit, seconds)}, {"call": (("all",), ("all",))}, {})
+
+
+def admit_calls(events: DataFrame, key: str, ts: str, order: str, kind: str, limits: Mapping[str, Limit] = LIMITS) -> DataFrame:
+    """Which calls of each kind the limits admit together, in order of time; semantics leave a reserve of the model's day."""
+    return _folded(events, key, ts, order, F.col(kind), limits, CALLS, RESERVE)

@@ -13,12 +13,17 @@ SCORES = ("adult", "solicitation", "deceptive", "severity", "confidence")
 REQUIRED = ("adult", "solicitation", "category", "severity")
 
 
-def route(scored: DataFrame, triage: bool = True, sample_rate: float = 0.25) -> DataFrame:
-    """Adds ``route`` from booleans candidate, media_suspicious, vision_ok, farm_hit, repeats, model_budget, triage_budget and ``draw`` in [0, 1)."""
+def route(scored: DataFrame, triage: bool = True, sample_rate: float = 0.25, client: bool = True) -> DataFrame:
+    """Adds ``route`` from booleans candidate, media_suspicious, vision_ok, farm_hit, repeats, model_budget, triage_budget and ``draw`` in [0, 1).
+
+    Without a ``client`` nothing is called: posts that would be asked about have the route no_client.
+    """
     ask = F.col("candidate") | F.col("media_suspicious") | F.col("vision_ok")
     return scored.withColumn(
         "route",
-        F.when(ask & F.col("model_budget"), "full")
+        F.when(ask & F.lit(not client), "no_client")
+        .when(F.lit(not client), "none")
+        .when(ask & F.col("model_budget"), "full")
         .when(ask, "budget_exhausted")
         .when(F.lit(not triage), "none")
         .when(~F.col("farm_hit") & ~F.col("repeats") & (F.col("draw") >= sample_rate), "not_sampled")
@@ -31,7 +36,8 @@ def evaluate(routed: DataFrame, full: DataFrame, probe: DataFrame) -> DataFrame:
     """Joins the answers of both tiers by id; only routed rows meet them.
 
     ``full``: id, the scores and category; ``probe``: id, junk.  A missing row is a failed call.  The result has zeros and
-    ``other`` where no answer holds, ``junk``, ``source`` (model, probe or null) and ``degraded`` (null where all is well).
+    ``other`` where no answer holds, ``junk``, ``source`` (model, probe or null), ``degraded`` (null where all is well) and
+    ``note``: why a post that needn't be asked about has no probe's answer.
     """
     asked = routed.select("id", "route").where("route in ('full', 'probe')")
     probed = asked.where("route = 'probe'").select("id").join(probe.select("id", F.col("junk"), F.lit(True).alias("probed")), "id")
@@ -44,14 +50,21 @@ def evaluate(routed: DataFrame, full: DataFrame, probe: DataFrame) -> DataFrame:
         valid = valid & F.col(f"read_{c}").isNotNull()
     degraded = (
         F.when(F.col("route") == "budget_exhausted", "budget_exhausted")
+        .when(F.col("route") == "no_client", "model_error")
         .when((F.col("called") & F.col("answered").isNull()) | ((F.col("route") == "probe") & F.col("probed").isNull()), "model_error")
         .when(F.col("called") & ~valid, "schema_invalid")
     )
+    failed = F.col("probed").isNull() | (F.col("escalated") & F.col("answered").isNull())
+    note = (
+        F.when(F.col("route").isin("not_sampled", "triage_budget_exhausted"), F.col("route"))
+        .when((F.col("route") == "probe") & failed, "probe_failed")
+        .when((F.col("route") == "probe") & F.col("junk").isNull(), "probe_answer_invalid")
+    )
     source = F.when(F.col("called") & valid, "model").when(F.col("junk").isNotNull(), "probe")
     clamped = {c: F.when(valid, F.greatest(F.coalesce(f"read_{c}", F.lit(0.0)), F.lit(0.0))).otherwise(F.lit(0.0)) for c in SCORES}
     clamped = {c: v if c == "severity" else F.least(v, F.lit(1.0)) for c, v in clamped.items()}
     category = F.when(valid, F.col("read_category")).otherwise("other")
-    return rows.select("id", "route", "escalated", *(v.alias(c) for c, v in clamped.items()), category.alias("category"), "junk", source.alias("source"), degraded.alias("degraded"))
+    return rows.select("id", "route", "escalated", *(v.alias(c) for c, v in clamped.items()), category.alias("category"), "junk", source.alias("source"), degraded.alias("degraded"), note.alias("note"))
 
 
 def cached(requests: DataFrame, key: str, ts: str, order: str, seconds: int = CACHE_SECONDS) -> DataFrame:

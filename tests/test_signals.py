@@ -53,5 +53,50 @@ def test_states(spark):
     rows = [("hide", True, "joy", True, "hidden"), ("ignore", True, "joy", True, "alpha"), ("ignore", False, "joy", True, "beta_folded"), ("ignore", False, "joy", False, "emotion"), ("review", False, None, False, "plain")]
     df = spark.createDataFrame(rows, "band string, alpha boolean, emotion string, folded boolean, want string")
     assert df.where(folds.display_state(*map(F.col, df.columns[:4])) != F.col("want")).count() == 0
-    refs = spark.createDataFrame([(1, 0.2, 0.9, 2.4), (2, 0.6, 0.9, 3.0), (3, 0.1, 0.5, 3.0), (4, 0.1, 0.8, None)], "seq long, median_similarity double, majority double, contrast double")
+    refs = spark.createDataFrame([(1, 3, 0.2, 0.9, 2.4), (2, 3, 0.6, 0.9, 3.0), (3, 3, 0.1, 0.5, 3.0), (4, 3, 0.1, 0.8, None), (5, 2, 0.1, 0.8, 3.0)], "seq long, references int, median_similarity double, majority double, contrast double")
     assert [(r["seq"], r["score"]) for r in folds.read_alpha(refs).collect()] == [(1, 0.8)]
+
+
+def test_nfkc_in_every_normalizer(spark):
+    from millrace.functions import text as T
+
+    rows = [("  约　啪  ",), ("Only\u200bFans",), ("ＯＮＬＹＦＡＮＳ",), ("½ ﬁt A",)]
+    got = spark.createDataFrame(rows, "t string").select(T.normalize_text(F.col("t")), T.farm_text(F.col("t")), T.feeling_text(F.col("t")), T.dense_text(F.col("t"))).collect()
+    assert [r[0] for r in got] == ["约 啪", "onlyfans", "onlyfans", "1⁄2 fit a"] and [r[1] for r in got][2:] == ["onlyfans", "12fita"] and got[2][2] == "onlyfans" and got[3][3] == "12fit"
+
+
+def test_lines_and_labels(spark):
+    from millrace.functions import text as T
+    from millrace.operators import menus
+
+    df = spark.createDataFrame([("One line here!\nTwo；three\nＯＮＥ ＬＩＮＥ ＨＥＲＥ",)], "t string")
+    assert df.select(T.lines(F.col("t"))).first()[0] == ["onelinehere", "two", "three", "onelinehere"] and df.select(T.repeated_line(F.col("t"))).first()[0]
+    assert df.select(T.collapse_runs(F.lit("aaaabbc"))).first()[0] == "aabbc"
+    assert df.select(menus.menu_action(F.lit("\u202aUnblock @x\u202c"))).first()[0] is None
+
+
+def test_images_are_decoded(spark, tmp_path):
+    import struct
+    import zlib
+
+    import numpy as np
+
+    from millrace.sources.images import decode, read_images
+
+    px = np.random.default_rng(1).integers(0, 255, (70, 90, 3), dtype=np.uint8)
+
+    def png(filters):
+        raw, last = b"", np.zeros(270, np.uint8)
+        for y, row in enumerate(px.reshape(70, 270)):
+            kind = filters[y % len(filters)]
+            left = np.concatenate([np.zeros(3, np.uint8), row[:-3]])
+            guess = {0: 0 * row, 1: left, 2: last, 3: ((left.astype(int) + last) // 2).astype(np.uint8)}[kind]
+            raw, last = raw + bytes([kind]) + (row - guess).astype(np.uint8).tobytes(), row
+        chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+        return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 90, 70, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+    assert (decode(png([0, 1, 2, 3])) == px).all() and decode(b"nothing") is None and decode(png([0])[:80]) is None
+    (tmp_path / "a.png").write_bytes(png([1]))
+    (tmp_path / "b.ppm").write_bytes(b"P6\n90 70\n255\n" + px.tobytes())
+    got = read_images(spark, str(tmp_path)).groupBy("image_id").agg(F.count("*").alias("n"), F.sum("r").alias("r")).collect()
+    assert len(got) == 2 and len({(r["n"], r["r"]) for r in got}) == 1 and got[0]["n"] == 64 * 50

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
-from millrace.operators.folds import low_signal_class
+from millrace.operators.emotion import emotion
 from millrace.operators.registry import normalize_handle, parse_list, valid_handle
 
 
@@ -31,10 +31,10 @@ def one(spark, f, value):
         (normalize_handle, "x.com/spammer?ref=1", "spammer"),
         (valid_handle, "bad-handle", False),
         (valid_handle, "valid_handle", True),
-        (low_signal_class, "haha", "joy"),
-        (low_signal_class, "😂😂", "emoji"),
-        (low_signal_class, "不同意", "oppose"),
-        (low_signal_class, "haha that is because of the weather", None),
+        (emotion, "haha", "joy"),
+        (emotion, "😂😂", "emoji"),
+        (emotion, "不同意", "oppose"),
+        (emotion, "haha that is because of the weather", None),
     ],
 )
 def test_scalar(spark, f, given, expected):
