@@ -32,7 +32,10 @@ def first_actions(planned: DataFrame) -> DataFrame:
 
 
 def _stateful(rows: DataFrame, key: str, output: str, state: str, fold: Callable, idle: str | None = None) -> DataFrame:
-    """``fold(key, rows in order of seq, state or None)`` gives rows and the new state; idle keys are forgotten where ``idle`` is set."""
+    """``fold(key, rows in order of seq, state or None)`` gives rows and the new state.
+
+    Idle keys are forgotten where ``idle`` is set; such a query runs until it is stopped, since time alone can end a key.
+    """
     millis = None if idle is None else int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
@@ -49,7 +52,7 @@ def _stateful(rows: DataFrame, key: str, output: str, state: str, fold: Callable
     return rows.groupBy(key).applyInPandasWithState(run, output, state, "append", timeout)
 
 
-def thread_folds(replies: DataFrame, idle: str = "1 day") -> DataFrame:
+def thread_folds(replies: DataFrame, idle: str | None = None) -> DataFrame:
     """Folds of a stream of replies (thread_id, seq, id, handle, text): what is kept of a thread is its first low reply and how many there were."""
     low = replies.withColumn("class", emotion(F.col("text"))).where("class is not null and thread_id is not null").select("thread_id", "seq", "id", "handle", F.col("class").alias("feeling"))
 
@@ -97,7 +100,7 @@ def recent_window(posts: DataFrame, size: int = 60) -> DataFrame:
     return _stateful(rows, "thread_id", "thread_id long, seq long, id long, window array<long>", "held array<long>", fold)
 
 
-def retro_hits(posts: DataFrame, least: int = 2, idle: str = "30 minutes") -> DataFrame:
+def retro_hits(posts: DataFrame, least: int = 2, idle: str | None = None) -> DataFrame:
     """Ids of posts of campaigns, earlier ones as soon as a campaign has ``least`` accounts: an update of what was shown.
 
     Posts wait in the state only until then; afterwards it holds the accounts that made the campaign.
