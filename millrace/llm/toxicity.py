@@ -1,13 +1,16 @@
 """Toxicity (operator 10): weak supervision.
 
-Many voters, each a small lexicon or a pattern, vote toxic, clean or nothing on a document.  A generative label model
-estimates every voter's accuracy by expectation maximisation over the counts of vote patterns, and lowers the weight
-of voters that stay correlated once the class is known.  A linear classifier is then trained on the label model's
-posteriors and scores every document, also those on which no voter speaks.
-
-Lexicon entries are found in labelled training rows: word stems (whole lower-case words, and their first 4 to 8
-bytes) that toxic documents hold far more often than others, in whatever language.  Fitting reads at most ``FIT_ROWS``
-labelled rows (a documented bound); every document is scored over its whole text.
+Many voters vote toxic, clean or nothing on a document: lexicons of insults written down here, one for each theme and
+language; families of word stems proposed on labelled training rows, in whatever language (a stem that toxic documents
+hold far more often than others joins the voter of its beginning, so that related words speak as one); and patterns of
+shouting, stress and plain length.  A generative label model estimates, without labels, how each voter votes in each
+class and which voters depend on each other: given the class, votes form a tree in which each depends on one other
+(the tree of largest conditional mutual information), and expectation maximisation over the counts of vote patterns
+fits tree and tables together.  A linear classifier is trained on the model's posteriors and scores every document,
+also those on which no voter speaks.
+
+Fitting reads at most ``FIT_ROWS`` labelled rows (a documented bound, which also bounds the stems); every document is
+scored over its whole text.
 
 Results: one row per row of the table; null and empty texts get the score of a document without evidence; repeated
 rows get equal scores; null ids are held out; other columns are not read.  Without labels of both classes the score
@@ -29,25 +32,50 @@ from millrace.llm.common import held_out, id_text, labelled_sample, table
 
 FIT_ROWS, SLICE = 20_000, 4 << 20
 #: A stem enters the lexicon with this many documents, and this share of them toxic (smoothed).
-LEAST_DOCS, LEAST_SHARE, GROUPS, PREFIXES = 5, 0.9, 4, (4, 5, 6, 7, 8)
+LEAST_DOCS, LEAST_SHARE, FAMILIES, PREFIXES = 5, 0.9, 4, (4, 5, 6, 7, 8)
+#: Insults by theme and language, whole words.
+THEMES = (
+    "idiot idiots moron morons stupid dumb imbecile fool foolish dimwit halfwit brainless retard retarded",
+    "worthless pathetic loser losers trash garbage scum clown failure nobody useless rubbish vermin",
+    "disgusting filthy vile gross repulsive sickening revolting creep pervert",
+    "bitch bastard asshole dick fuck fucking shit slut whore",
+    "die kill hate hang rot",
+    "dumm idiotin trottel depp vollidiot schwachkopf versager abschaum dreck widerlich ekelhaft arschloch hurensohn",
+    "idiote imbécile crétin débile abruti nul minable ordure dégoûtant connard salaud merde",
+    "idiota imbécil estúpido tonto inútil basura asqueroso escoria cabrón mierda payaso patético",
+)
 _B = np.arange(256)
 _BETWEEN = ~(((_B >= 65) & (_B <= 90)) | ((_B >= 97) & (_B <= 122)) | (_B >= 0x80))
 _LOWER = np.where((_B >= 65) & (_B <= 90), _B + 32, _B).astype(np.uint8)
 _KINDS = (None, *PREFIXES)
 
 
-def stems(raw: np.ndarray, at: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For whole words and each prefix length: the index of the text and the hash of the stem, of every word."""
+def stems(raw: np.ndarray, at: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For whole words and each prefix length: the index of the text, the hash of the stem, and that of its beginning, of every word."""
     raw = _LOWER[raw]
     start, end, of = W.words(raw, at, _BETWEEN)
     out = []
+    family = W.hashes(raw, start, np.minimum(start + 4, end))
     for size in _KINDS:
         long = slice(None) if size is None else end - start >= size
         stop = end[long] if size is None else start[long] + size
-        out.append((of[long], W.hashes(raw, start[long], stop) ^ np.uint64(size or 0)))
+        out.append((of[long], W.hashes(raw, start[long], stop) ^ np.uint64(size or 0), family[long]))
     return out
 
 
+def _themes() -> tuple[np.ndarray, np.ndarray]:
+    words = [(w, k) for k, theme in enumerate(THEMES) for w in theme.split()]
+    raw = "".join(w for w, _ in words).encode()
+    sizes = np.array([len(w.encode()) for w, _ in words])
+    stop = np.cumsum(sizes)
+    keys = W.hashes(np.frombuffer(raw, np.uint8), stop - sizes, stop) ^ np.uint64(0)
+    order = np.argsort(keys)
+    return keys[order], np.array([k for _, k in words])[order]
+
+
+_THEME_KEYS, _THEME_OF = _themes()
+
+
 @dataclass(frozen=True)
 class Lexicon:
     """Sorted stem hashes, the voter each belongs to, and its log-odds."""
@@ -58,7 +86,7 @@ class Lexicon:
 
     @property
     def voters(self) -> int:
-        return GROUPS * len(_KINDS)
+        return FAMILIES * len(_KINDS)
 
 
 def _per_slice(texts: pa.Array, work) -> np.ndarray:
@@ -68,13 +96,13 @@ def _per_slice(texts: pa.Array, work) -> np.ndarray:
 
 
 def evidence(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
-    """Per text: hits of each lexicon voter, then words, shouting, exclamations, summed log-odds and distinct stems hit."""
+    """Per text: hits of each family of stems and each theme, then words, shouting, exclamations, summed log-odds and distinct stems hit."""
 
     def work(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
         n = len(at) - 1
-        x = np.zeros((n, lexicon.voters + 5))
+        x = np.zeros((n, lexicon.voters + len(THEMES) + 5))
         found = stems(raw, at)
-        for of, key in found:
+        for of, key, _ in found:
             if not len(lexicon.keys) or not len(key):
                 continue
             i = np.minimum(np.searchsorted(lexicon.keys, key), len(lexicon.keys) - 1)
@@ -83,10 +111,15 @@ def evidence(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
             once = np.unique(np.stack([of[hit], i[hit]]), axis=1)
             np.add.at(x[:, -2], once[0], lexicon.odds[once[1]])
             np.add.at(x[:, -1], once[0], 1)
-        x[:, lexicon.voters] = np.bincount(found[0][0], minlength=n)
+        first = lexicon.voters
+        i = np.minimum(np.searchsorted(_THEME_KEYS, found[0][1]), len(_THEME_KEYS) - 1)
+        hit = _THEME_KEYS[i] == found[0][1]
+        np.add.at(x, (found[0][0][hit], first + _THEME_OF[i[hit]]), 1)
+        first += len(THEMES)
+        x[:, first] = np.bincount(found[0][0], minlength=n)
         for k, mask in enumerate(((raw >= 65) & (raw <= 90), raw == 33), 1):
             sums = np.concatenate([[0], np.cumsum(mask)])
-            x[:, lexicon.voters + k] = (sums[at[1:]] - sums[at[:-1]]) / np.maximum(np.diff(at), 1)
+            x[:, first + k] = (sums[at[1:]] - sums[at[:-1]]) / np.maximum(np.diff(at), 1)
         return x
 
     return _per_slice(texts, work)
@@ -107,49 +140,90 @@ def votes(x: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class LabelModel:
-    """Log-likelihood ratio of each vote (clean, nothing, toxic), weights for correlated voters, prior log-odds."""
+    """Log-likelihood ratio of each vote given its parent's vote (voter, parent's vote, vote), parents (-1: none), prior log-odds."""
 
     ratio: np.ndarray
-    weight: np.ndarray
+    parent: np.ndarray
     prior: float
 
+    def evidence(self, v: np.ndarray) -> np.ndarray:
+        z = np.zeros(len(v))
+        for j, pa_ in enumerate(self.parent):
+            z += self.ratio[j, 1 if pa_ < 0 else v[:, pa_].astype(int) + 1, v[:, j].astype(int) + 1]
+        return z
+
     def posterior(self, v: np.ndarray) -> np.ndarray:
-        at = np.take_along_axis(self.ratio[None], (v[..., None] + 1).astype(int), axis=2)[..., 0]
-        return 1 / (1 + np.exp(-np.clip(self.prior + at @ self.weight, -60, 60)))
+        return _odds(self.evidence(v) + self.prior)
+
+
+def _odds(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+
+
+def _balanced(z: np.ndarray, counts: np.ndarray, share: float) -> float:
+    """The prior with which the posteriors add up to the class's share."""
+    low, high = -200.0, 200.0
+    for _ in range(80):
+        middle = (low + high) / 2
+        low, high = (low, middle) if (_odds(z + middle) * counts).sum() > share * counts.sum() else (middle, high)
+    return (low + high) / 2
+
+
+def _tree(joint: list[np.ndarray], least: float) -> np.ndarray:
+    """Parents of the largest tree by mutual information given the class; links that tell less than ``least`` are left out."""
+    voters = joint[0].shape[0]
+    total = sum(j[0, :, 0, :].sum() for j in joint)
+    info = np.zeros((voters, voters))
+    for m in joint:  # (voter, vote, voter, vote) masses of one class
+        both = m.transpose(0, 2, 1, 3) + 1e-9
+        both = both / both.sum((2, 3), keepdims=True)
+        apart = both.sum(3, keepdims=True) * both.sum(2, keepdims=True)
+        info += (both * np.log(both / apart)).sum((2, 3)) * m[0, :, 0, :].sum() / total
+    np.fill_diagonal(info, 0)
+    parent, best, inside = np.full(voters, -1), info[0].copy(), np.zeros(voters, bool)
+    near = np.zeros(voters, int)
+    inside[0] = True
+    while not inside.all():
+        j = int(np.argmax(np.where(inside, -1, best)))
+        parent[j] = near[j] if best[j] * total >= least else -1
+        inside[j] = True
+        closer = info[j] > best
+        best, near = np.where(closer, info[j], best), np.where(closer, j, near)
+    return parent
 
 
 def fit_label_model(patterns: np.ndarray, counts: np.ndarray, share: float, rounds: int = 50) -> LabelModel:
-    """EM over distinct vote patterns and their counts; starts from the majority vote, with the class share fixed."""
-    onehot = np.stack([patterns == k for k in (-1, 0, 1)], axis=2).astype(float)
+    """EM over distinct vote patterns and their counts; starts from the majority vote; posteriors are held to the class's share."""
+    voters = patterns.shape[1]
+    onehot = np.stack([patterns == k for k in (-1, 0, 1)], axis=2).reshape(len(patterns), -1).astype(float)
     start = np.sign(patterns.sum(1) + 0.5)
     p = np.where((patterns > 0).any(1) & (start > 0), 0.9, np.where((patterns > 0).any(1), 0.3, share / 10))
-    prior = float(np.log(share / (1 - share)))
-    model = LabelModel(np.zeros((patterns.shape[1], 3)), np.ones(patterns.shape[1]), prior)
     for _ in range(rounds):
-        like = []
-        for q in (1 - p, p):
-            mass = np.einsum("p,pvk->vk", q * counts, onehot) + 0.5
-            like.append(mass / mass.sum(1, keepdims=True))
-        ratio = np.log(like[1] / like[0])
-        # What voters still share within a class counts once: a weight falls with the summed squared correlations.
-        corr = np.zeros((patterns.shape[1],) * 2)
-        for q in (1 - p, p):
-            w = q * counts
-            centred = (patterns - np.average(patterns, axis=0, weights=w + 1e-12)) * np.sqrt(w)[:, None]
-            size = np.sqrt((centred**2).sum(0)) + 1e-9
-            corr += (centred.T @ centred / np.outer(size, size)) ** 2 * w.sum() / counts.sum()
-        model = LabelModel(ratio, 1 / np.maximum(corr.sum(1), 1), prior)
+        joint = [(onehot.T @ (onehot * (q * counts)[:, None])).reshape(voters, 3, voters, 3) for q in (1 - p, p)]
+        parent = _tree(joint, 6.0)
+        ratio = np.zeros((voters, 3, 3))
+        for j, pa_ in enumerate(parent):
+            like = []
+            for m in joint:
+                alone = np.diag(m[j, :, j, :]) + 0.5
+                table = np.tile(alone, (3, 1)) if pa_ < 0 else m[pa_, :, j, :] + 2 * alone / alone.sum()
+                like.append(table / table.sum(1, keepdims=True))
+            ratio[j] = np.log(like[1] / like[0])
+        model = LabelModel(ratio, parent, 0.0)
+        model = LabelModel(ratio, parent, _balanced(model.evidence(patterns), counts, share))
         new = model.posterior(patterns)
-        if np.abs(new - p).max() < 1e-6:
-            break
+        done = np.abs(new - p).max() < 1e-6
         p = new
+        if done:
+            break
     return model
 
 
 def linear_features(x: np.ndarray) -> np.ndarray:
     n = x.shape[1] - 5
     words = np.maximum(x[:, n], 1)
-    hits = x[:, :n].reshape(len(x), -1, GROUPS).sum(2)
+    themes = n - len(THEMES)
+    hits = np.column_stack([x[:, :themes].reshape(len(x), -1, FAMILIES).sum(2), x[:, themes:n].sum(1)])
     return np.column_stack(
         [np.ones(len(x)), np.log1p(hits), hits / words[:, None], np.log1p(x[:, n]), x[:, n + 1], x[:, n + 2], np.log1p(x[:, n + 3]), np.log1p(x[:, n + 4]), x[:, n + 3] / words]
     )
@@ -196,30 +270,27 @@ def _mine(sample: DataFrame, share: float) -> Lexicon:
             raw, at = W.buffers(b.column("text"))
             y = b.column("y").to_numpy(zero_copy_only=False)
             for lo, hi in W.slices(at, SLICE):
-                for kind, (of, key) in enumerate(stems(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])):
+                for kind, (of, key, family) in enumerate(stems(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])):
                     order = np.lexsort((of, key))
-                    of, key = of[order], key[order]
+                    of, key, family = of[order], key[order], family[order]
                     first = np.ones(len(key), bool)
                     first[1:] = (key[1:] != key[:-1]) | (of[1:] != of[:-1])
-                    keys, which = np.unique(key[first], return_inverse=True)
+                    keys, at_key, which = np.unique(key[first], return_index=True, return_inverse=True)
                     toxic = np.bincount(which, weights=y[lo + of[first]], minlength=len(keys)).astype(np.int64)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(toxic), pa.array(np.bincount(which, minlength=len(keys)))],
-                        ["kind", "key", "toxic", "docs"],
-                    )
-
-    counted = sample.mapInArrow(run, "kind int, key long, toxic long, docs long").groupBy("kind", "key").agg(F.sum("toxic").alias("toxic"), F.sum("docs").alias("docs"))
+                        [
+                            pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array((family[first][at_key] % np.uint64(FAMILIES)).astype(np.int32)), pa.array(toxic),
+                            pa.array(np.bincount(which, minlength=len(keys))),
+                        ],
+                        ["kind", "key", "family", "toxic", "docs"],
+                    )
+
+    counted = sample.mapInArrow(run, "kind int, key long, family int, toxic long, docs long").groupBy("kind", "key").agg(F.max("family").alias("family"), F.sum("toxic").alias("toxic"), F.sum("docs").alias("docs"))
     smooth = (F.col("toxic") + 0.5 * share) / (F.col("docs") + 0.5)
-    top = (
-        counted.where((F.col("toxic") >= LEAST_DOCS) & (smooth >= LEAST_SHARE))
-        .withColumn("gain", F.col("toxic") * F.log(smooth / share))
-        .orderBy(F.desc("gain"), "kind", "key")
-        .limit(4000)
-        .toPandas()
-    )
+    # Stems in LEAST_DOCS of the sample's documents at least: their number is bounded by the sample's words.
+    top = counted.where((F.col("toxic") >= LEAST_DOCS) & (smooth >= LEAST_SHARE)).toPandas()
     order = np.argsort(key := top["key"].to_numpy(np.int64).view(np.uint64))
-    rank = top.groupby("kind").cumcount().to_numpy() if len(top) else np.zeros(0, np.int64)
-    voter = top["kind"].to_numpy(np.int64) * GROUPS + rank % GROUPS
+    voter = top["kind"].to_numpy(np.int64) * FAMILIES + top["family"].to_numpy(np.int64)
     p = (top["toxic"].to_numpy() + 0.5 * share) / (top["docs"].to_numpy() + 0.5)
     odds = np.log(p / np.maximum(1 - p, 1e-3)) - np.log(share / (1 - share))
     return Lexicon(key[order], voter[order], odds[order])
