@@ -4,7 +4,11 @@ A page is a stream of tags and text slots.  Within a page, equal neighbouring st
 a page with three paragraphs and one with thirty have the same shape.  The distinct shapes of a host are then aligned
 one after the other: where two streams part, the stretch that only one has becomes an optional group, and a text that
 differs becomes a slot.  The outcome is one union-free expression (sequence, optional, repeat, slot) per host: its
-wrapper.  A slot belongs to the main text when its ancestors and their attributes are not those of menus, headers,
+wrapper.  Texts take part as well: a text that stands at the same place on nearly all distinct pages of a host is
+fixed, a part of the template, and all others fill slots.  Pages count as one where their longest text is the same, so
+copies of an article don't make its text fixed, and a page that would be left without any text keeps what it has.
+
+A slot belongs to the main text when its ancestors and their attributes are not those of menus, headers,
 footers, sidebars, notices, adverts, forms or comments, and, where a host has an article-like container, when it lies
 inside it.
 
@@ -23,12 +27,15 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import materialise, small, table
 
 GROUP = 64
+#: A text is fixed when so many distinct pages of a host have it at one place, and this share of all of them.
+LEAST_PAGES, FIXED = 5, 0.9
 #: Wrappers of up to so many hosts (a few kB each) are broadcast to the pages; those of more hosts meet them by a shuffle.
 BROADCAST_HOSTS = 20_000
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,7 +51,7 @@ OUTSIDE_WORDS = re.compile(
 MAIN_TAGS = ("article", "main")
 MAIN_WORDS = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|content|main)(?:[_-]?(?:body|content|text))?(?:$|[\s_-])")
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>", re.S
 )
 ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 WHITE = re.compile(r"\s+")
@@ -207,7 +214,11 @@ def main_slots(wrapper: list[list]) -> list[list[tuple[str, ...]]]:
     for path, _, _ in wrapper:
         inside = _container(path)
         header = any(s.partition("[")[0] == "header" for s in path) and not (inside == 2 and path[[s.partition("[")[0] for s in path].index("header") - 1 :][0].partition("[")[0] in MAIN_TAGS)
-        if not header and not any(_outside(s) for s in path) and path not in good[inside]:
+        # A word on what encloses an article (a layout "with sidebar") says nothing about the article.
+        tags = [s.partition("[")[0] for s in path]
+        first = next((k for k, t in enumerate(tags) if t in MAIN_TAGS), 0) if inside == 2 else 0
+        hidden = any(s.endswith("!") or t in OUTSIDE for s, t in zip(path[:first], tags))
+        if not header and not hidden and not any(_outside(s) for s in path[first:]) and path not in good[inside]:
             good[inside].append(path)
     return good
 
@@ -224,24 +235,40 @@ def _read(text: str) -> list[list]:
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, shape, paths and texts of the blocks of each page."""
+    """page_id, url, host, shape, paths, texts and marks (hashes of path and text) of the blocks of each page, and the hash of its longest text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            shapes, paths, texts = [], [], []
+            shapes, paths, texts, marks, longest = [], [], [], [], []
             for page in b.column("html").to_pylist():
                 found = blocks(page or "")
                 shapes.append(_write(fold([p for p, _ in found])))
                 paths.append([STEP.join(p) for p, _ in found])
                 texts.append([t for _, t in found])
-            yield pa.RecordBatch.from_arrays(
-                [b.column("page_id"), b.column("url"), b.column("host"), pa.array(shapes, pa.string()), pa.array(paths, pa.list_(pa.string())), pa.array(texts, pa.list_(pa.string()))],
-                ["page_id", "url", "host", "shape", "paths", "texts"],
-            )
+                marks.append([_hash(f"{STEP.join(p)}{SEP}{t}") for p, t in found])
+                longest.append(_hash(max(texts[-1], key=len, default="")))
+            words, numbers = pa.list_(pa.string()), pa.list_(pa.int64())
+            columns = [b.column("page_id"), b.column("url"), b.column("host"), pa.array(shapes, pa.string()), pa.array(paths, words), pa.array(texts, words), pa.array(marks, numbers), pa.array(longest, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "host", "shape", "paths", "texts", "marks", "longest"])
 
     host = F.lower(F.coalesce(F.regexp_extract(F.col("url"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)", 1), F.lit("")))
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), pages["html"].cast("string").alias("html"))
-    return rows.withColumn("host", host).mapInArrow(run, "page_id long, url string, host string, shape string, paths array<string>, texts array<string>")
+    return rows.withColumn("host", host).mapInArrow(run, "page_id long, url string, host string, shape string, paths array<string>, texts array<string>, marks array<long>, longest long")
+
+
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
+
+
+def fixed_texts(seen: DataFrame, least: int = LEAST_PAGES, share: float = FIXED) -> DataFrame:
+    """(host, fixed) of (host, longest, marks): the marks that nearly all distinct pages of a host have.
+
+    A host has few: each is on ``share`` of its pages, so there are no more than a page has blocks by ``share``.
+    """
+    pages = seen.groupBy("host").agg(F.count_distinct("longest").alias("pages")).where(F.col("pages") >= least)
+    each = seen.select("host", "longest", F.explode(F.array_distinct("marks")).alias("mark")).distinct()
+    counted = each.groupBy("host", "mark").agg(F.count("*").alias("n")).join(pages, "host")
+    return counted.where(F.col("n") >= F.col("pages") * share).groupBy("host").agg(F.sort_array(F.collect_list("mark")).alias("fixed"))
 
 
 def wrappers(shapes: DataFrame, group: int = GROUP) -> DataFrame:
@@ -269,22 +296,32 @@ def _by_host():
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row, by the wrapper of the page's host."""
     read = parsed(pages)
-    found = wrappers(materialise(read.select("host", "shape").distinct()))
-
-    @F.udf("array<array<string>>")
-    def slots(wrapper: str) -> list[list[str]]:
-        return [[STEP.join(p) for p in level] for level in main_slots(_read(wrapper))]
-
-    known = materialise(found.select("host", slots("wrapper").alias("slots")))  # a row for each host
+    seen = materialise(read.select("host", "shape", "longest", "marks"))
+    found = wrappers(materialise(seen.select("host", "shape").distinct()))
+    known = materialise(_with_slots(found).join(fixed_texts(seen), "host", "left"))  # a row for each host
     joined = read.join(small(known, BROADCAST_HOSTS), "host", "left")
     # A page's main text lies in the most article-like slots of its host's wrapper that it has.
     levels = [F.get("slots", F.lit(i)) for i in (2, 1)]
     best = F.when(F.arrays_overlap("paths", levels[0]), levels[0]).when(F.arrays_overlap("paths", levels[1]), levels[1]).otherwise(F.get("slots", F.lit(0)))
     joined = joined.withColumn("best", best)
-    kept = F.filter(F.arrays_zip(F.col("paths").alias("p"), F.col("texts").alias("t")), lambda x: F.array_contains("best", x["p"]))
+    inside = F.filter(F.arrays_zip(F.col("paths").alias("p"), F.col("texts").alias("t"), F.col("marks").alias("m")), lambda x: F.array_contains("best", x["p"]))
+    varying = F.when(F.col("fixed").isNull(), F.col("inside")).otherwise(F.filter("inside", lambda x: ~F.array_contains("fixed", x["m"])))
+    joined = joined.withColumn("inside", inside).withColumn("varying", varying)
+    kept = F.when(F.size("varying") > 0, F.col("varying")).otherwise(F.col("inside"))
     text = F.coalesce(F.array_join(F.transform(kept, lambda x: x["t"]), "\n"), F.lit(""))
     return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def _with_slots(found: DataFrame) -> DataFrame:
+    """(host, slots) of (host, wrapper): its main slots by level."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            slots = [[[STEP.join(p) for p in level] for level in main_slots(_read(w))] for w in b.column("wrapper").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(slots, pa.list_(pa.list_(pa.string())))], ["host", "slots"])
+
+    return found.select("host", "wrapper").mapInArrow(run, "host string, slots array<array<string>>")
+
+
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
