@@ -27,16 +27,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import words as W
 from millrace.llm.common import id_text, table
 
-WINDOW, GRAM = 20, 5
+WINDOW, GRAM = 20, 4
 #: Documents of the sample that tells which anchors are dealt by window, and in how many of them such an anchor stands.
-HOT_SAMPLE, HOT = 50_000, 10
-SLICE = 6 << 20
+HOT_SAMPLE, HOT = 50_000, 100
+SLICE = 3 << 20
 U = np.uint64
 #: Stands for a null id: no real id is smaller.
 NULL_ID = -(2**63)
@@ -74,19 +75,19 @@ def _first_of_each(t: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np
     return order, head, (doc != doc[head]) | (tie != tie[head]) | (start != start[head])
 
 
-def _factors(t: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+def _factors(t: dict[str, np.ndarray], order: np.ndarray, head: np.ndarray, later: np.ndarray, whole: bool = True) -> dict[str, np.ndarray]:
     """Factors of the windows that stand earlier as well: row, first word and number of windows, and the same of the reference.
 
     Windows in text order; one goes on with the factor before it if its reference is the next window of that one's.
+    Factors that only say which words go (not ``whole``) are joined where they follow each other; their reference is the first one's.
     """
-    order, head, later = _first_of_each(t)
     at, ref = order[later], order[head[later]]
     back = np.lexsort((t["start"][at], t["tie"][at], t["doc"][at]))
     at, ref = at[back], ref[back]
     doc, tie, start = (t[k][at] for k in ("doc", "tie", "start"))
     of, of_tie, of_start = (t[k][ref] for k in ("doc", "tie", "start"))
     fresh = np.ones(len(at), bool)
-    same = [x[1:] == x[:-1] for x in (doc, tie, of, of_tie)] + [x[1:] == x[:-1] + 1 for x in (start, of_start)]
+    same = [x[1:] == x[:-1] for x in ((doc, tie, of, of_tie) if whole else (doc, tie))] + [x[1:] == x[:-1] + 1 for x in ((start, of_start) if whole else (start,))]
     fresh[1:] = ~np.all(same, axis=0)
     edge = np.flatnonzero(fresh)
     n = np.diff(np.append(edge, len(at)))
@@ -95,13 +96,33 @@ def _factors(t: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
 
 FACTOR = "doc long, tie int, start int, n int, ref long, ref_start int"
 _TYPES = {"key": pa.int64(), "doc": pa.int64(), "tie": pa.int32(), "start": pa.int32(), "n": pa.int32(), "ref": pa.int64(), "ref_start": pa.int32()}
+#: What a shuffled factor says of its reference, in the place of a block's windows.
+_REFERENCE = np.dtype([("n", "<i4"), ("ref", "<i8"), ("ref_start", "<i4")])
+BLOCK = ("key", "doc", "tie", "start")
 
 
-def _batch(t: dict, names: tuple[str, ...], payload: pa.Array | None = None) -> pa.RecordBatch:
-    """A batch of the named columns, those not given being null, and the payload."""
-    size = len(t["doc"])
-    columns = [pa.array(t[k], _TYPES[k]) if k in t else pa.nulls(size, _TYPES[k]) for k in names]
-    return pa.RecordBatch.from_arrays([*columns, *([] if payload is None else [payload])], [*names, *([] if payload is None else ["w"])])
+def _batch(t: dict, names: tuple[str, ...]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(t[k], _TYPES[k]) for k in names], list(names))
+
+
+def _block_batch(t: dict, edge: np.ndarray, payload: np.ndarray) -> pa.RecordBatch:
+    """Rows of BLOCK and their parts of the payload; ``edge`` counts bytes."""
+    w = pa.BinaryArray.from_buffers(pa.binary(), len(edge) - 1, [None, pa.py_buffer(edge.astype(np.int32)), pa.py_buffer(payload.tobytes())])
+    return pa.RecordBatch.from_arrays([*(pa.array(t[k], _TYPES[k]) for k in BLOCK), w], [*BLOCK, "w"])
+
+
+def _factor_rows(f: dict) -> pa.RecordBatch:
+    """Factors among blocks: their first word is written as -1 less it."""
+    payload = np.zeros(len(f["doc"]), _REFERENCE)
+    for k in _REFERENCE.names:
+        payload[k] = f[k]
+    key = W.mix(f["doc"].astype(np.int64).view(U) + f["start"].astype(np.int64).view(U)).view(np.int64)
+    return _block_batch({"key": key, "doc": f["doc"], "tie": f["tie"], "start": -1 - f["start"]}, np.arange(len(key) + 1) * _REFERENCE.itemsize, payload)
+
+
+def _factors_of(b: pa.RecordBatch) -> dict[str, np.ndarray]:
+    payload = np.frombuffer(b"".join(b.column("w").to_pylist()), _REFERENCE)
+    return {"doc": b.column("doc").to_numpy(), "tie": b.column("tie").to_numpy(), "start": -1 - b.column("start").to_numpy()} | {k: payload[k] for k in _REFERENCE.names}
 
 
 def _sliced(b: pa.RecordBatch, size: int, gram: int) -> Iterator[dict[str, np.ndarray]]:
@@ -140,33 +161,26 @@ def _dealt(t: dict[str, np.ndarray], hot: np.ndarray) -> dict[str, np.ndarray]:
     return t | {"h": np.where(hot[i] == t["h"], W.mix(t["h"] ^ W.mix(t["w"])), t["h"])}
 
 
-BLOCK = ("key", "doc", "tie", "start", "n", "ref", "ref_start")
-
-
-def blocks(docs: DataFrame, size: int, gram: int, hot: np.ndarray) -> DataFrame:
-    """Blocks (key, doc, tie, start, w) of consecutive windows that are the first in their batch, and, with w null, the
-    factors of those that aren't."""
+def blocks(docs: DataFrame, size: int, gram: int, hot: np.ndarray, whole: bool) -> DataFrame:
+    """Blocks (key, doc, tie, start, w) of consecutive windows that are the first in their batch, and the factors of those that aren't."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for t in _sliced(b, size, gram):
                 t = _dealt(t, hot)
-                done = _factors(t)
-                yield _batch(done, BLOCK, pa.nulls(len(done["doc"]), pa.binary()))
-                order, _, later = _first_of_each(t)
+                order, head, later = _first_of_each(t)
+                yield _factor_rows(_factors(t, order, head, later, whole))
                 stay = np.sort(order[~later])  # back in text order
                 doc, tie, start, h, w = (t[k][stay] for k in ("doc", "tie", "start", "h", "w"))
                 fresh = np.ones(len(h), bool)
                 fresh[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1]) | (start[1:] != start[:-1] + 1)
-                edge = np.append(np.flatnonzero(fresh), len(h)).astype(np.int32)
-                payload = pa.BinaryArray.from_buffers(pa.binary(), len(edge) - 1, [None, pa.py_buffer(edge * 8), pa.py_buffer(w.tobytes())])
-                at = edge[:-1]
-                yield _batch({"key": h[at].view(np.int64), "doc": doc[at], "tie": tie[at], "start": start[at]}, BLOCK, payload)
+                at = np.flatnonzero(fresh)
+                yield _block_batch({"key": h[at].view(np.int64), "doc": doc[at], "tie": tie[at], "start": start[at]}, np.append(at, len(h)) * 8, w)
 
-    return docs.mapInArrow(run, "key long, " + FACTOR + ", w binary")
+    return docs.mapInArrow(run, "key long, doc long, tie int, start int, w binary")
 
 
-def _look_up(sorted_blocks: DataFrame) -> DataFrame:
+def _look_up(sorted_blocks: DataFrame, whole: bool) -> DataFrame:
     """Factors (``FACTOR``) of duplicate windows, from blocks sorted by key and place.
 
     Whole batches are decided at once; only first windows of the key that is still open at a batch's end are carried on.
@@ -176,8 +190,10 @@ def _look_up(sorted_blocks: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_h, seen = None, None  # the key that is open, and the first place of each of its windows so far
         for b in batches:
-            yield b.filter(b.column("w").is_null()).select(list(names))
-            b = b.filter(b.column("w").is_valid())
+            known = pc.less(b.column("start"), 0)
+            if pc.any(known).as_py():
+                yield _batch(_factors_of(b.filter(known)), names)
+                b = b.filter(pc.invert(known))
             if not b.num_rows:
                 continue
             h, w = b.column("key").to_numpy().view(U), b.column("w")
@@ -196,10 +212,10 @@ def _look_up(sorted_blocks: DataFrame) -> DataFrame:
             }
             if open_h is not None and open_h == h[0]:
                 t = {k: np.concatenate([seen[k], t[k]]) for k in t}
-            found = _factors(t)
+            order, head, later = _first_of_each(t)
+            found = _factors(t, order, head, later, whole)
             if len(found["doc"]):
                 yield _batch(found, names)
-            order, _, later = _first_of_each(t)
             first = order[~later]
             first = first[t["h"][first] == h[-1]]
             # Of a place that repeated rows share one window is enough.
@@ -221,22 +237,28 @@ def _kept(words: list[bytes], starts: np.ndarray, lengths: np.ndarray, size: int
 
 
 def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id (a number for null as well), tie (32 bits of a hash of the text, which tells rows of one id apart), text."""
+    """doc_id (a number for null as well), tie, text.
+
+    The tie tells rows of one id with other texts apart: 31 bits of a hash of the text.  Where no id has several texts,
+    which the ids and hashes tell, it is 0 for all and takes no room in what is shuffled.
+    """
     docs = id_text(docs, id_col, text_col)
-    tie = F.shiftrightunsigned(F.xxhash64("text"), 33).cast("int")
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("x")).distinct()
+    several = not hashed.groupBy("doc_id").count().where("count > 1").isEmpty()
+    tie = F.shiftrightunsigned(F.xxhash64("text"), 33).cast("int") if several else F.lit(0)
     return docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), tie.alias("tie"), "text")
 
 
-def _parsed(named: DataFrame, size: int, gram: int) -> DataFrame:
-    found = blocks(named, size, gram, hot_anchors(named, size, gram))
+def _parsed(named: DataFrame, size: int, gram: int, whole: bool) -> DataFrame:
+    found = blocks(named, size, gram, hot_anchors(named, size, gram), whole)
     # One shuffle takes blocks to their anchor, and factors that are found already to anywhere.
-    dealt = found.repartition(F.when(F.col("w").isNull(), F.xxhash64("doc", "start")).otherwise(F.col("key")))
-    return _look_up(dealt.sortWithinPartitions("key", "doc", "tie", "start"))
+    dealt = found.repartition("key")
+    return _look_up(dealt.sortWithinPartitions("key", "doc", "tie", "start"), whole)
 
 
 def factors(docs: DataFrame, size: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, n_words, ref_id, ref_start of every factor: words that stand earlier, at the reference, as well."""
-    found = _parsed(_named(docs, id_col, text_col), size, gram)
+    found = _parsed(_named(docs, id_col, text_col), size, gram, True)
     id_ = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return found.select(id_("doc").alias("doc_id"), "start", (F.col("n") + size - 1).alias("n_words"), id_("ref").alias("ref_id"), "ref_start")
 
@@ -244,7 +266,7 @@ def factors(docs: DataFrame, size: int = WINDOW, gram: int = GRAM, id_col: str =
 def dedup_substrings(docs: DataFrame, size: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row, and the kept ``text`` where ``texts`` is set."""
     named = _named(docs, id_col, text_col)
-    marks = _parsed(named, size, gram).groupBy("doc", F.col("tie").alias("of_tie")).agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    marks = _parsed(named, size, gram, False).groupBy("doc", F.col("tie").alias("of_tie")).agg(F.collect_list(F.struct("start", "n")).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -21,9 +21,9 @@ def test_windows_carry_all_bits_of_their_hash():
 
 def test_windows_that_share_the_upper_bits_differ():
     t = {"doc": np.array([1, 2, 3]), "tie": np.zeros(3, np.int64), "start": np.zeros(3, np.int64), "h": np.full(3, 9, np.uint64), "w": np.array([7 << 32 | 1, 7 << 32 | 2, 7 << 32 | 1], np.uint64)}
-    order, _, later = substrings._first_of_each(t)
+    order, head, later = substrings._first_of_each(t)
     assert order[later].tolist() == [2]
-    found = substrings._factors(t)
+    found = substrings._factors(t, order, head, later)
     assert (found["doc"].tolist(), found["ref"].tolist(), found["n"].tolist()) == ([3], [1], [1])
 
 
