@@ -37,17 +37,19 @@ _FOLDS = (
 
 
 @query(
-    _FOLDS + "SELECT thread_id, seq, class, CASE WHEN thread_id IS NULL THEN 'feed' ELSE 'thread' END AS scope, CASE WHEN thread_id IS NULL THEN 'em:feed:' || class ELSE 'em:' || thread_id::VARCHAR || ':low' END AS group_key, group_size, "
-    "CASE WHEN group_size > 1 THEN first_id END AS duplicate_of, CASE WHEN group_size > 1 THEN first_handle END AS duplicate_of_handle, thread_id IS NOT NULL AND group_size = 1 AS representative, NOT (thread_id IS NOT NULL AND group_size = 1) AS folded, "
+    _FOLDS + "SELECT coalesce(thread_id, -1) AS thread_id, seq, class, CASE WHEN thread_id IS NULL THEN 'feed' ELSE 'thread' END AS scope, CASE WHEN thread_id IS NULL THEN 'em:feed:' || class ELSE 'em:' || thread_id::VARCHAR || ':low' END AS group_key, group_size, "
+    "coalesce(CASE WHEN group_size > 1 THEN first_id END, -1) AS duplicate_of, CASE WHEN group_size > 1 THEN first_handle END AS duplicate_of_handle, thread_id IS NOT NULL AND group_size = 1 AS representative, NOT (thread_id IS NOT NULL AND group_size = 1) AS folded, "
     f"CASE WHEN len(list_distinct(so_far)) > 1 THEN {_SHOWN} ELSE '' END AS class_breakdown, CASE WHEN thread_id IS NULL THEN left(trim(text), 30) END AS content_preview FROM u"
 )
 def thread_fold(spark, d):
-    return folds.thread_fold(_classed(spark, d)).drop("id", "classes")
+    """Each classified turn's fold; -1 stands for no thread and no duplicate."""
+    found = folds.thread_fold(_classed(spark, d)).drop("id", "classes")
+    return found.withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("thread_id", "duplicate_of")})
 
 
-@query(f"WITH {REPLIES} SELECT thread_id, class, count(*) AS replies FROM replies WHERE class IS NOT NULL GROUP BY thread_id, class")
+@query(f"WITH {REPLIES} SELECT coalesce(thread_id, -1) AS thread_id, class, count(*) AS replies FROM replies WHERE class IS NOT NULL GROUP BY ALL")
 def thread_class_breakdown(spark, d):
-    return folds.class_breakdown(_classed(spark, d))
+    return folds.class_breakdown(_classed(spark, d)).withColumn("thread_id", F.coalesce("thread_id", F.lit(-1)))
 
 
 _CAMPAIGN = f"array_to_string({distinct(lines('text'))}, '')"

@@ -1,4 +1,5 @@
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -10,7 +11,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def rows(frame):
     frame = frame[sorted(frame.columns)].astype(object)
-    return sorted(tuple("~" if v is None or v != v else f"{v:.6f}" if isinstance(v, float) else str(v) for v in r) for r in frame.itertuples(index=False))
+    return sorted(tuple("~" if v is None or v is pd.NA or v != v else f"{v:.6f}" if isinstance(v, float) else str(v) for v in r) for r in frame.itertuples(index=False))
 
 
 @pytest.fixture(scope="module")
