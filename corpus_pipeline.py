@@ -1,4 +1,9 @@
-"""A corpus from raw documents to a mixed training order: each stage is one of the corpus operators at work."""
+"""A corpus from raw documents to a mixed training order: each stage is one of the corpus operators at work.
+
+All stages treat a null text as empty and read only doc_id, text, source and labels; rows that repeat stay repeated
+unless a stage takes them out, other columns are passed on by all but the last, and an empty table gives an empty one.
+Rows without an id are never taken out as near-duplicates or leaks, since ids say what goes; ties go to the smaller id.
+"""
 
 from __future__ import annotations
 
