@@ -40,13 +40,15 @@ def safe_cuts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 class _PieceCounter:
-    """Counts of whole texts from a tokenizers file; each distinct piece is encoded once while it is remembered."""
+    """Counts of whole texts from a tokenizers file; each distinct piece is encoded once while it is remembered, by its bytes."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok, self.known = Tokenizer.from_file(path), {}
+        self.tok.no_truncation()
+        self.tok.no_padding()
         pre = self.tok.pre_tokenizer
         self.cuttable = type(pre).__name__ == "ByteLevel" and self.tok.normalizer is None and not pre.add_prefix_space and not any(
             t.lstrip or t.rstrip or any(map(str.isspace, t.content)) for t in self.tok.get_added_tokens_decoder().values()
@@ -63,14 +65,21 @@ class _PieceCounter:
         if not len(start):
             return np.zeros(len(at) - 1, np.int64)
         end = np.append(start[1:], len(raw))
-        keys, first, which = np.unique(W.hashes(raw, start, end), return_index=True, return_inverse=True)
-        keys, data, known = keys.tolist(), raw.tobytes(), self.known
-        new = [i for i, k in enumerate(keys) if k not in known]
+        _, first, which = np.unique(W.hashes(raw, start, end), return_index=True, return_inverse=True)
+        # The hash only gathers pieces: what counts is the piece itself, byte by byte.
+        alike = W.same(raw, start, end, raw, start[first][which], end[first][which])
+        data, known = raw.tobytes(), self.known
+        piece = lambda i: data[start[i] : end[i]]
+        pieces = [piece(i) for i in first.tolist()]
+        new = [p for p in pieces if p not in known] + [p for i in np.flatnonzero(~alike) if (p := piece(i)) not in known]
         for lo in range(0, len(new), 4096):
             part = new[lo : lo + 4096]
-            known.update(zip((keys[i] for i in part), self.plain([data[start[first[i]] : end[first[i]]].decode() for i in part])))
+            known.update(zip(part, self.plain([p.decode() for p in part])))
+        each = np.fromiter((known[p] for p in pieces), np.int64, len(pieces))[which]
+        for i in np.flatnonzero(~alike):
+            each[i] = known[piece(i)]
         sums = np.zeros(len(start) + 1, np.int64)
-        np.cumsum(np.fromiter((known[k] for k in keys), np.int64, len(keys))[which], out=sums[1:])
+        np.cumsum(each, out=sums[1:])
         if len(known) > REMEMBER:
             known.clear()
         edge = np.searchsorted(start, at)

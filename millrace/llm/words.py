@@ -7,12 +7,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True
-_B = U(0x9E3779B97F4A7C15 | 1)
-_BYTE = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
+#: Words longer than this are hashed one by one by a library, shorter ones eight bytes at a time for all words together.
+LONG = 256
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -22,29 +24,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n + 1, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-class Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, grown on demand."""
-
-    def __init__(self, base: int):
-        self.base, self.inv, self.n = U(base), U(pow(base, -1, 2**64)), 0
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > self.n:
-            self.n = max(n, 2 * self.n)
-            self.up, self.down = _powers(self.base, self.n), _powers(self.inv, self.n)
-        return self.up, self.down
-
-
-_BYTES, _WORDS = Powers(int(_B)), Powers(0xD6E8FEB86659FD93)
-
-
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string array without nulls, and where each text starts and the last ends."""
     texts = texts.cast(pa.large_string())
@@ -77,23 +56,63 @@ def words(raw: np.ndarray, at: np.ndarray, between: np.ndarray = _GAP) -> tuple[
     return start, end, np.searchsorted(at, start, "right") - 1
 
 
+def _eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; zeros follow the end."""
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = raw
+    return np.ndarray((len(raw) + 1,), "<u8", padded, 0, (1,))
+
+
 def hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word: a polynomial in its bytes, mixed with its length."""
-    up, down = _BYTES.upto(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * up[: len(raw)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * U(0x9FB21C651E98DF25))
+    """A 64-bit hash of each word.  Every eight bytes pass through ``mix`` before the next come in, so that no family of
+    words collides by its structure; words of equal length of up to eight bytes never collide."""
+    size = end - start
+    out, eights = mix(size.astype(np.uint64) * U(0x9FB21C651E98DF25)), _eights(raw)
+    live, at = np.flatnonzero((size > 0) & (size <= LONG)), 0
+    while len(live):
+        left = size[live] - at
+        out[live] = mix(out[live] ^ (eights[start[live] + at] & _KEEP[np.minimum(left, 8)]))
+        live, at = live[left > 8], at + 8
+    for i in np.flatnonzero(size > LONG):
+        out[i] = xxhash.xxh3_64_intdigest(raw[start[i] : end[i]].tobytes())
+    return out
+
+
+def same(raw: np.ndarray, start: np.ndarray, end: np.ndarray, raw2: np.ndarray, start2: np.ndarray, end2: np.ndarray) -> np.ndarray:
+    """Whether the words at the same index are equal, byte by byte."""
+    size = end - start
+    out, a, b = size == end2 - start2, _eights(raw), _eights(raw2)
+    live, at = np.flatnonzero(out & (size > 0) & (size <= LONG)), 0
+    while len(live):
+        left = size[live] - at
+        equal = ((a[start[live] + at] ^ b[start2[live] + at]) & _KEEP[np.minimum(left, 8)]) == 0
+        out[live[~equal]] = False
+        live, at = live[equal & (left > 8)], at + 8
+    for i in np.flatnonzero(out & (size > LONG)):
+        out[i] = np.array_equal(raw[start[i] : end[i]], raw2[start2[i] : end2[i]])
+    return out
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a * U(0xD6E8FEB86659FD93) ^ (b + U(0x9E3779B97F4A7C15)))
 
 
 def windows(word: np.ndarray, size: int) -> np.ndarray:
-    """Hash of the ``size`` words from each word on, over the whole array; callers drop those that leave a text."""
+    """Hash of the ``size`` words from each word on, over the whole array; callers drop those that leave a text.
+
+    Runs of 1, 2, 4, ... words are joined pair by pair, mixed at every step.
+    """
     n = len(word)
     if n < size:
         return np.zeros(0, np.uint64)
-    up, down = _WORDS.upto(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(word * up[:n], out=sums[1:])
-    return mix((sums[size:] - sums[:-size]) * down[: n - size + 1])
+    out, done, part, span = None, 0, word, 1
+    while True:
+        if size & span:
+            out = part if out is None else _joined(out[: n - done - span + 1], part[done:])
+            done += span
+        if done == size:
+            return mix(out)
+        part, span = _joined(part[:-span], part[span:]), 2 * span
 
 
 def slices(at: np.ndarray, size: int):
