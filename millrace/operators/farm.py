@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import farm_key, overlap, shingles
+from millrace.operators.cut import kept
 
 #: Fixed values.
 IDLE_SECONDS, LEAST_ACCOUNTS, SIMILARITY, SAMPLES = 30 * 60, 2, 0.8, 3
@@ -78,7 +77,7 @@ def near_keys(keys: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """
     hashed = F.transform(shingles(F.col("farm_key")), lambda g: F.xxhash64(g))
     rows = keys.select("id", hashed.alias("grams"), F.length("farm_key").alias("length")).withColumn("size", F.size("grams"))
-    rows = _kept(rows)
+    rows = kept(rows)
     each = rows.select("id", "size", "length", F.explode("grams").alias("gram"))
     df = each.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
     place = F.row_number().over(Window.partitionBy("id").orderBy("df", "gram"))
@@ -109,26 +108,18 @@ def leaders(keys: DataFrame, pairs: DataFrame) -> DataFrame:
     ``keys`` has id, ``pairs`` a < b.  A key is settled once all earlier ones near to it are: it follows the first that
     leads, else it leads.  Rounds settle all such keys at once; each is two joins of what is still open.
     """
-    pairs = _kept(pairs.select("a", "b"))
+    pairs = kept(pairs.select("a", "b"))
     touched = pairs.select(F.col("b").alias("id")).distinct().withColumn("open", F.lit(True))
-    state = _kept(keys.select("id").join(touched, "id", "left").select("id", F.when(F.col("open").isNull(), F.col("id")).alias("leader")))
+    state = kept(keys.select("id").join(touched, "id", "left").select("id", F.when(F.col("open").isNull(), F.col("id")).alias("leader")))
     while not state.where("leader is null").isEmpty():
         first = pairs.join(state.select(F.col("id").alias("a"), F.col("leader").alias("of_a")), "a").join(state.where("leader is null").select(F.col("id").alias("b")), "b")
         seen = first.groupBy("b").agg(F.min(F.when(F.col("of_a") == F.col("a"), F.col("a"))).alias("to"), F.min(F.when(F.col("of_a").isNull(), F.col("a"))).alias("wait"))
         # The first leader is known once nothing earlier than it is open.
         ready = seen.where("wait is null or to < wait").select(F.col("b").alias("id"), F.coalesce("to", "b").alias("new"))
-        state = _kept(state.join(ready, "id", "left").select("id", F.coalesce("leader", "new").alias("leader")))
+        state = kept(state.join(ready, "id", "left").select("id", F.coalesce("leader", "new").alias("leader")))
     return state
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a loop by a checkpoint in the folder that the session names; one of the driver's own only where it names none (tests)."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-"))
-    return df.checkpoint(eager=True)
-
-
 def clusters(posts: DataFrame, similarity: float = SIMILARITY, samples: int = SAMPLES) -> DataFrame:
     """Clusters of near keys: leader, accounts, posts, and the first ``samples`` distinct keys seen."""
     rows = keyed(posts).select("id", "seq", "account", "farm_key")

@@ -6,11 +6,17 @@ function says so.  Nothing here joins a whole thread with itself: pairs meet ins
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import farm_key, farm_text, group_key, overlap, preview, shingles
+from millrace.operators.cut import kept
 from millrace.operators.emotion import CLASSES, LABELS
+from millrace.operators.order import numbered
+from millrace.operators.overlaps import Trigrams, millionths
+from millrace.operators.recent import STRETCH, entry_key, over_windows
 from millrace.settings import Folding
 
 ORDER = (*CLASSES, "emoji")
@@ -65,40 +71,80 @@ def class_breakdown(replies: DataFrame) -> DataFrame:
     return replies.where("class is not null").groupBy("thread_id", "class").agg(F.count("*").alias("replies"))
 
 
-def _blocks(rows: DataFrame, order: str, size: int, ahead: bool) -> DataFrame:
-    """Rows with the number of their stretch of ``size``; with ``ahead`` each also stands in the next one."""
-    block = F.floor(F.col(order) / size)
-    return rows.withColumn("block", F.explode(F.array(block, block + 1)) if ahead else block)
-
-
-def recent(replies: DataFrame) -> DataFrame:
-    """The window's entries: each post once, at its latest observation."""
-    latest = Window.partitionBy("id").orderBy(F.desc("seq"))
-    return replies.withColumn("_n", F.row_number().over(latest)).where("_n = 1").drop("_n")
+def observed(replies: DataFrame) -> DataFrame:
+    """Replies as observations of the recent window, with their normalized text and campaign key: texts are read once."""
+    text = F.coalesce("text", F.lit(""))
+    return replies.select(
+        "place", "seq", "thread_id", F.col("id").cast("long").alias("id"), entry_key(F.col("id"), F.col("handle"), text).alias("key"), F.lit(True).alias("pushes"),
+        farm_text(text).alias("normal"), farm_key(text).alias("campaign"),
+    )
 
 
-def beta_candidates(replies: DataFrame, s: Folding = Folding()) -> DataFrame:
-    """For each post up to ``candidates`` earlier ones among the last ``window`` observed that it may repeat, best first.
+def beta_candidates(replies: DataFrame, s: Folding = Folding(), stretch: int = STRETCH) -> DataFrame:
+    """For each post up to ``candidates`` of those that the recent window holds before it that it may repeat, best first.
 
     A candidate is similar, or less so in the same thread, or has the same campaign key.  ``place`` (1, 2, ...) counts
-    observations.  Posts meet in stretches of ``window`` places, each post standing in its own stretch and the next, so
-    the join is an equi-join whose groups hold twice the window at most.
+    observations; a post seen again counts at its latest one, with the text it then had.
     """
-    text = farm_text(F.col("text"))
-    rows = replies.select("thread_id", "place", "seq", "id", text.alias("normal"), farm_key(F.col("text")).alias("campaign"))
-    rows = rows.withColumn("grams", shingles(F.col("normal")))
-    x, y = _blocks(rows, "place", s.window, False).alias("x"), _blocks(rows, "place", s.window, True).alias("y")
-    back = F.col("x.place") - F.col("y.place")
-    pairs = x.join(y, (F.col("x.block") == F.col("y.block")) & back.between(1, s.window - 1) & (F.col("x.id") != F.col("y.id")))
-    blank = (F.col("x.normal") == "") | (F.col("y.normal") == "")
-    alike = F.when(blank, 0.0).otherwise(F.round(overlap(F.col("x.grams"), F.col("y.grams")), 6))
-    pairs = pairs.select(
-        F.col("x.seq").alias("seq"), F.col("y.seq").alias("candidate"), F.col("y.id").alias("candidate_id"), alike.alias("similarity"),
-        F.coalesce(F.col("x.thread_id") == F.col("y.thread_id"), F.lit(False)).alias("same_thread"), F.coalesce(F.col("x.campaign") == F.col("y.campaign"), F.lit(False)).alias("same_campaign"),
-    )
-    good = (F.col("similarity") >= s.similar) | (F.col("same_thread") & (F.col("similarity") >= s.similar_in_thread)) | F.col("same_campaign")
-    rank = F.row_number().over(Window.partitionBy("seq").orderBy(F.desc("similarity"), "candidate"))
-    return pairs.where(good).withColumn("rank", rank).where(F.col("rank") <= s.candidates)
+
+    def judge(rows: pd.DataFrame, pairs: list[tuple[int, int]]) -> pd.DataFrame:
+        i, j = np.array(pairs, np.int64).reshape(-1, 2).T
+        t = Trigrams(rows["normal"].tolist())
+        alike = np.where((t.length[i] == 0) | (t.length[j] == 0), 0, millionths(t.common(i, j), t.smaller(i, j)))
+        met = lambda c: (rows[c].to_numpy()[i] == rows[c].to_numpy()[j]) & rows[c].notna().to_numpy()[i]
+        thread, campaign = met("thread_id"), met("campaign")
+        good = (alike >= round(s.similar * 1e6)) | (thread & (alike >= round(s.similar_in_thread * 1e6))) | campaign
+        i, j, alike, thread, campaign = (x[good] for x in (i, j, alike, thread, campaign))
+        seq, ids = rows["seq"].to_numpy(), rows["id"].astype("Int64")
+        order = np.lexsort((seq[j], -alike, i))
+        i, j, alike, thread, campaign = (x[order] for x in (i, j, alike, thread, campaign))
+        rank = np.arange(len(i)) - np.searchsorted(i, i) + 1
+        out = pd.DataFrame({"seq": seq[i], "candidate": seq[j], "candidate_id": ids.iloc[j].to_numpy(), "similarity": alike / 1e6, "same_thread": thread, "same_campaign": campaign, "rank": rank})
+        return out[rank <= s.candidates]
+
+    schema = "seq long, candidate long, candidate_id long, similarity double, same_thread boolean, same_campaign boolean, rank int"
+    return over_windows(observed(replies), s.window, kept, judge, schema, stretch)
+
+
+def asked_references(events: DataFrame, s: Folding = Folding(), stretch: int = STRETCH) -> DataFrame:
+    """References of each reply at the moment it is judged: seq, references, median_similarity.
+
+    ``events`` is one log in the order of ``at`` (distinct numbers): kind ``observe`` (seq, id, thread_id, handle, text),
+    ``decide`` (seq, band: what became of an observation) and ``ask`` (seq: an observation is judged now).  References are
+    the latest others of its thread in the recent window whose band is not known yet or ``ignore``: a band counts from its
+    decision on.
+    """
+    log = numbered(events, "at")
+    seen = log.where("kind = 'observe'")
+    bands = log.where("kind = 'decide'").groupBy("seq").agg(F.min_by(F.struct(F.col("band"), F.col("place").alias("decided")), "place").alias("d")).select("seq", "d.band", "d.decided")
+    pushed = observed(seen.drop("band")).drop("campaign").join(bands, "seq", "left")
+    asks = log.where("kind = 'ask'").select("place", "seq").join(pushed.drop("place", "pushes", "band", "decided"), "seq")
+    none = {"pushes": F.lit(False), "band": F.lit(None).cast("string"), "decided": F.lit(None).cast("long")}
+    # Places count all events; a stretch is as many of them.
+    rows = pushed.unionByName(asks.withColumns(none))
+
+    def judge(part: pd.DataFrame, pairs: list[tuple[int, int]]) -> pd.DataFrame:
+        i, j = np.array(pairs, np.int64).reshape(-1, 2).T
+        place, seq, band, thread = (part[c].to_numpy() for c in ("place", "seq", "band", "thread_id"))
+        decided = part["decided"].fillna(np.inf).to_numpy(float)
+        asks = ~part["pushes"].to_numpy()
+        open_ = (decided[j] > place[i]) | np.isin(band[j], [None, "ignore"]) | part["band"].isna().to_numpy()[j]
+        key = part["key"].to_numpy()
+        good = asks[i] & (thread[i] == thread[j]) & part["thread_id"].notna().to_numpy()[i] & (seq[i] != seq[j]) & (key[i] != key[j]) & open_
+        i, j = i[good], j[good]
+        order = np.lexsort((-place[j], i))
+        i, j = i[order], j[order]
+        few = np.arange(len(i)) - np.searchsorted(i, i) < s.most_references
+        i, j = i[few], j[few]
+        t = Trigrams(part["normal"].tolist())
+        alike = np.where((t.length[i] == 0) | (t.length[j] == 0), 0.0, t.common(i, j) / t.smaller(i, j))
+        got = pd.DataFrame({"seq": seq[i], "alike": alike}).groupby("seq")["alike"].agg(["size", "median"]).reset_index()
+        mine = asks & ~part["lead"].to_numpy()
+        out = pd.DataFrame({"seq": seq[mine]}).merge(got, "left", "seq")
+        return pd.DataFrame({"seq": out["seq"], "references": out["size"].fillna(0).astype(int), "median_similarity": out["median"].fillna(0.0)})
+
+    found = over_windows(rows, s.window, kept, judge, "seq long, references int, median_similarity double", stretch)
+    return found.withColumn("median_similarity", F.round("median_similarity", 6))
 
 
 def alpha_references(replies: DataFrame, s: Folding = Folding()) -> DataFrame:

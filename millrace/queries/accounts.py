@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.operators import farm, rates, registry, routing
-from millrace.queries.registered import KEYS, POSTS, SHARED, query
+from millrace.operators import farm, live, rates, registry, routing
+from millrace.operators.cut import kept
+from millrace.queries.registered import KEYS, POSTS, SHARED, grams, query
 from millrace.schema import pick, posts, table
 
 
@@ -24,21 +25,39 @@ def farm_retro_hide(spark, d):
     return farm.retro_hits(posts(spark, d))
 
 
-@query()
+_LIFE = "1800000000"
+_RUNS = (
+    f"t AS (SELECT id, farm_key, 1704067200000000 + id * 60000000 AS due FROM keyed), f AS (SELECT *, CASE WHEN due - lag(due) OVER (PARTITION BY farm_key ORDER BY due) < {_LIFE} THEN 0 ELSE 1 END AS fresh FROM t), "
+    "u AS (SELECT *, sum(fresh) OVER (PARTITION BY farm_key ORDER BY due) AS run FROM f), "
+    f"r AS (SELECT farm_key, min(id) AS rid, min(due) AS lo, max(due) + {_LIFE} AS hi, length(farm_key) AS n, {grams('farm_key')} AS g FROM u GROUP BY farm_key, run)"
+)
+
+
+@query(
+    f"WITH {POSTS}, {KEYS}, {_RUNS}, p AS (SELECT x.rid AS a, y.rid AS b, len(list_intersect(x.g, y.g)) / least(len(x.g), len(y.g)) AS s FROM r x JOIN r y "
+    "ON y.lo >= x.lo AND y.lo < x.hi AND x.rid < y.rid AND x.farm_key <> y.farm_key AND 2 * least(x.n, y.n) >= greatest(x.n, y.n)) SELECT a, b, round(s, 6) AS similarity FROM p WHERE s >= 0.8"
+)
 def farm_near_pairs(spark, d):
-    """Near pairs of whole texts' keys: all pairs are too many for SQL, a brute-force fixture holds it in the tests."""
-    return farm.near_pairs(posts(spark, d))
+    """Near texts that meet: the second begins while the first may still be joined.  Copies of a text in a row are one run."""
+    return live.near_runs(kept(live.keyed(posts(spark, d))))
+
+
+def _campaigns(spark, d):
+    rows = kept(live.keyed(posts(spark, d)))
+    return rows, live.clusters(live.accounts_of(rows, live.memberships(rows)))
 
 
 @query()
 def farm_clusters(spark, d):
-    """Clusters led by the earliest near key, with their accounts and samples; held against a fold in the tests."""
-    return farm.clusters(posts(spark, d)).withColumn("samples", F.size("samples"))
+    """Clusters led by the earliest near text alive, with their accounts and samples; a fold, so held against one in the tests."""
+    found = _campaigns(spark, d)[1]
+    return found.select("leader", "accounts", "posts", F.size("samples").alias("samples"), F.col("hit_at").isNotNull().alias("hit"))
 
 
 @query()
 def farm_near_retro_hide(spark, d):
-    return farm.near_retro_hits(posts(spark, d))
+    """Posts that a campaign hides after the fact; rests on the fold of ``farm_clusters``."""
+    return live.retro_hits(*_campaigns(spark, d)).withColumnRenamed("seq", "id")
 
 
 @query(

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.operators import emotion, folds
+from millrace.operators import emotion, folds, recent
+from millrace.operators.cut import kept
 from millrace.operators.emotion import LABELS
 from millrace.queries.registered import REPLIES, distinct, farm, grams, lines, query, quoted
-from millrace.schema import replies
+from millrace.schema import observations, replies, reply_log
+from millrace.settings import Folding
 
 _ORDER = quoted(folds.ORDER)
 
@@ -61,9 +63,45 @@ _CANDIDATES = (
 )
 
 
-@query(_CANDIDATES)
+#: What the recent window holds for each observation: others at their latest observation, latest first.
+_OBSERVED = "o AS (SELECT *, CASE WHEN turn % 5 = 4 THEN seq - 2 ELSE seq END AS oid FROM replies)"
+_HELD = (
+    "e AS (SELECT x.seq, x.place, y.oid, max(y.place) AS held FROM o x JOIN o y ON y.place < x.place AND y.oid <> x.oid GROUP BY ALL), "
+    "h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY held DESC) AS n FROM e) WHERE n <= 59)"
+)
+
+
+@query(
+    f"WITH {_GRAMS}, {_OBSERVED}, {_HELD}, p AS (SELECT x.seq, y.seq AS candidate, h.oid AS candidate_id, CASE WHEN x.k = '' OR y.k = '' THEN 0 ELSE round(len(list_intersect(x.g, y.g)) / least(len(x.g), len(y.g)), 6) END AS similarity, "
+    "coalesce(x.thread_id = y.thread_id, false) AS same_thread, coalesce(x.campaign = y.campaign, false) AS same_campaign FROM h JOIN g x ON x.seq = h.seq JOIN g y ON y.place = h.held), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY similarity DESC, candidate) AS rank FROM p WHERE similarity >= 0.45 OR (same_thread AND similarity >= 0.3) OR same_campaign) SELECT * FROM r WHERE rank <= 6"
+)
 def beta_candidates(spark, d):
-    return folds.beta_candidates(replies(spark, d))
+    """Candidates from the window of the last 60 posts seen; some turns are earlier ones seen again."""
+    return folds.beta_candidates(observations(spark, d))
+
+
+@query(f"WITH {REPLIES}, {_OBSERVED}, {_HELD} SELECT x.place, count(h.held) AS entries, coalesce(min(h.held), -1) AS oldest, coalesce(sum(h.held), 0)::BIGINT AS places FROM o x LEFT JOIN h ON h.seq = x.seq GROUP BY x.place")
+def recent_windows(spark, d):
+    """What each observation finds in the window: how many posts, the oldest one's place and the sum of all places."""
+    seen = folds.observed(observations(spark, d)).select("place", "key", "pushes")
+    found = recent.windows(seen, Folding().window, kept)
+    return found.select("place", F.size("window").cast("long").alias("entries"), F.coalesce(F.array_min("window"), F.lit(-1)).alias("oldest"), F.aggregate("window", F.lit(0).cast("long"), lambda a, x: a + x).alias("places"))
+
+
+@query(
+    f"WITH {_GRAMS}, {_OBSERVED}, "
+    "e AS (SELECT x.seq, x.oid AS own, x.place * 10 + 23 AS at, y.oid, max(y.place) AS held FROM o x JOIN o y ON y.place * 10 < x.place * 10 + 23 GROUP BY ALL), "
+    "h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY held DESC) AS n FROM e) WHERE n <= 60), "
+    "p AS (SELECT h.seq, CASE WHEN x.k = '' OR y.k = '' THEN 0 ELSE len(list_intersect(x.g, y.g)) / least(len(x.g), len(y.g)) END AS s, row_number() OVER (PARTITION BY h.seq ORDER BY h.held DESC) AS n "
+    "FROM h JOIN g x ON x.seq = h.seq JOIN g y ON y.place = h.held JOIN o b ON b.place = h.held "
+    "WHERE x.thread_id = y.thread_id AND y.seq <> x.seq AND h.oid <> h.own AND (b.band IS NULL OR b.band = 'ignore' OR b.place * 10 + 25 > h.at)), "
+    "m AS (SELECT seq, count(*) AS n, median(s) AS s FROM p WHERE n <= 12 GROUP BY seq) "
+    "SELECT o.seq, coalesce(m.n, 0)::INT AS \"references\", round(coalesce(m.s, 0), 6) AS median_similarity FROM o LEFT JOIN m USING (seq)"
+)
+def asked_references(spark, d):
+    """References of every turn at the moment it is judged: bands that are decided later don't count yet."""
+    return folds.asked_references(reply_log(spark, d))
 
 
 _REFERENCES = (

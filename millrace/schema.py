@@ -83,6 +83,19 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered(rows, "seq")
 
 
+def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies as they are observed: every fifth turn is the one two turns before, seen again with another text."""
+    return replies(spark, sf_dir).withColumn("id", F.when(F.col("turn") % 5 == 4, F.col("seq") - 2).otherwise(F.col("seq")))
+
+
+def reply_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations in a log with what follows: each is judged two observations later, and its band is known just after."""
+    o = observations(spark, sf_dir)
+    event = lambda kind, at, seen: o.select(at.alias("at"), F.lit(kind).alias("kind"), "seq", *((F.col(c) if seen or c == "band" else F.lit(None).cast(o.schema[c].dataType)).alias(c) for c in ("id", "thread_id", "handle", "text", "band")))
+    place = F.col("place") * 10
+    return event("observe", place, True).unionByName(event("ask", place + 23, False)).unionByName(event("decide", place + 25, False).where("band is not null"))
+
+
 def answers(ids: DataFrame) -> DataFrame:
     """A deterministic stand-in for the decision model and the other signals, by arithmetic on the id."""
     i = F.col("id")
