@@ -1,4 +1,4 @@
-"""Structured Streaming forms: campaigns, de-duplication, folds, limits, the recent window, and the sinks."""
+"""Structured Streaming forms: campaigns of equal texts, de-duplication, folds, limits, and the sinks."""
 
 from __future__ import annotations
 
@@ -86,20 +86,6 @@ def admitted(events: DataFrame, key: str, limit: int, seconds: int) -> DataFrame
     return _stateful(rows, "key", "key string, seq long, admitted boolean", "held array<long>", fold)
 
 
-def recent_window(posts: DataFrame, size: int = 60) -> DataFrame:
-    """For each post of a thread the ids observed before it, latest last; one that is seen again moves to the end."""
-    rows = posts.where("thread_id is not null").select("thread_id", "seq", "id")
-
-    def fold(thread, rows: pd.DataFrame, state):
-        held, out = list(state[0]) if state is not None else [], []
-        for r in rows.itertuples():
-            out.append((thread, r.seq, r.id, [x for x in held if x != r.id]))
-            held = [*[x for x in held if x != r.id], int(r.id)][-size:]
-        return pd.DataFrame(out, columns=["thread_id", "seq", "id", "window"]), (held,)
-
-    return _stateful(rows, "thread_id", "thread_id long, seq long, id long, window array<long>", "held array<long>", fold)
-
-
 def retro_hits(posts: DataFrame, least: int = 2, idle: str | None = None) -> DataFrame:
     """Ids of posts of campaigns, earlier ones as soon as a campaign has ``least`` accounts: an update of what was shown.
 

@@ -33,11 +33,9 @@ def test_thread_folds(spark, stream):
     assert got == {(r["seq"], r["group_size"], r["duplicate_of"], r["folded"]) for r in batch.collect()} and len(got) == 5
 
 
-def test_first_sightings_and_windows(spark, stream):
+def test_first_sightings(spark, stream):
     _, open_ = stream
     assert len(run(S.first_sightings(open_()), spark, "seen")) == 7
-    window = {r["seq"]: list(r["window"]) for r in run(S.recent_window(open_(), 3), spark, "windows")}
-    assert window[4] == [1, 2, 3] and window[5] == [1, 3, 5]
 
 
 def test_admitted(spark, stream):
