@@ -2,38 +2,50 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from millrace.functions.text import strip_invisible
 
-#: Words by language: English, Spanish, Portuguese, French, Italian, German, Dutch, Swedish, Danish, Polish, Turkish, Indonesian, Vietnamese, Russian, Ukrainian, Chinese, Japanese, Korean.
-BLOCK = (
-    "block", "bloquear", "bloquer", "bloque", "blocca", "blockieren", "blokkeren", "blokkeer", "blockera", "bloker", "zablokuj", "engelle", "blokir", "chặn",
-    "заблокировать", "заблокувати", "屏蔽", "封鎖", "拉黑", "ブロック", "차단",
-)
-MUTE = (
-    "mute", "silenciar", "masquer", "silenzia", "stummschalten", "negeren", "tysta", "dæmp", "wycisz", "sessize al", "bisukan", "tắt tiếng",
-    "игнорировать", "ігнорувати", "隐藏", "靜音", "静音", "ミュート", "뮤트",
-)
-#: Entries that undo an action, tried first: they often hold the action's own word.
-UNDO = (
-    "unblock", "unmute", "desbloquear", "débloquer", "sblocca", "entsperren", "blockierung aufheben", "stummschaltung aufheben", "deblokkeren", "avblockera", "fjern blokering",
-    "odblokuj", "engeli kaldır", "buka blokir", "bỏ chặn", "разблокировать", "розблокувати", "取消屏蔽", "解除封鎖", "取消拉黑", "取消隐藏", "取消静音", "ブロックを解除", "ミュートを解除", "차단 해제", "뮤트 해제",
-    "dejar de silenciar", "deixar de silenciar", "ne plus masquer", "riattiva", "odcisz",
-)
-NOT = ("don't", "do not", "no ", "ne pas", "nicht ", "не ", "不要", "不")
+#: What counts as part of a word, so that "commuters" doesn't mute and "blockchain" doesn't block.
+_LETTER = r"[\p{L}\p{M}\p{N}]"
+START, END = rf"(?<!{_LETTER})", rf"(?!{_LETTER})"
+#: The platform's words for its actions.  Whole words; beginnings of words (endings follow the grammar); and
+#: what is found anywhere, in scripts that don't part words or put them together.
+WORDS = {"block": ("block",), "mute": ("mute",)}
+STEMS = {
+    "block": ("blockier", "bloque", "bloqui", "bloqua", "blocca", "blokker", "blokkeer", "blockera", "bloker", "zablok", "blokuj", "engelle", "blokir", "chặn", "заблок", "حظر", "ब्लॉक"),
+    "mute": ("silenci", "silenzia", "stummschalt", "masquer", "dempen", "negeren", "tysta", "dæmp", "wycisz", "sessize", "bisukan", "tắt tiếng", "заглуш", "игнорир", "ігнор", "كتم", "म्यूट"),
+}
+INSIDE = {
+    "block": ("屏蔽", "拉黑", "封锁", "封鎖", "ブロック", "차단", "บล็อก", "ปิดกั้น"),
+    "mute": ("静音", "靜音", "隐藏", "隱藏", "ミュート", "음소거", "뮤트", "ปิดเสียง"),
+}
+#: Whatever takes an action back, leaves it off or only tells of it.  An entry with one of these is left alone: a click too few is
+#: better than the opposite one.  Prefixes (un-, des-, dé-, od-, раз-, अन-) need no entry, as stems only count where words begin.
+UNDO_WORDS = ("no", "not", "don't", "dont", "never", "stop", "off", "undo", "cancel", "disable", "remove", "end", "ne", "pas", "plus", "lever", "nicht", "niet", "nie", "inte", "ikke", "fjern", "ophæv", "buka", "bỏ", "bật", "hủy", "не", "batal", "değil", "लेकिन", "नहीं", "हटाएं", "हटाएँ", "blocked", "muted")
+UNDO_STEMS = ("dej", "deix", "deja", "cess", "desactiv", "désactiv", "réactiv", "disattiv", "riattiv", "rimuov", "aufheb", "beend", "ophef", "wyłącz", "włącz", "cofnij", "kaldır", "aktifkan", "отмен", "снять", "убрать", "включ", "скасув", "إلغاء", "الغاء")
+UNDO_INSIDE = ("取消", "解除", "消除", "已", "不", "别", "停止", "やめ", "しない", "해제", "취소", "เลิก", "ยกเลิก", "เปิดเสียง", "إلغاء")
+
+
+def _listed(words: Sequence[str]) -> str:
+    return "|".join(sorted(words, key=lambda w: (-len(w), w)))
 
 
-def _any(text: Column, words: tuple[str, ...]) -> Column:
-    return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(text, w))
+def _pattern(words: Sequence[str], stems: Sequence[str], inside: Sequence[str]) -> str:
+    return f"{START}(?:{_listed(words)}){END}|{START}(?:{_listed(stems)})|(?:{_listed(inside)})"
 
 
 def menu_action(label: Column) -> Column:
-    """block, mute, or null: entries that undo or negate an action are none."""
-    text = F.lower(strip_invisible(label))
-    undone = _any(text, UNDO) | F.exists(F.array(*map(F.lit, NOT)), lambda w: text.startswith(w))
-    return F.when(undone, None).when(_any(text, BLOCK), "block").when(_any(text, MUTE), "mute")
+    """block, mute, or null: entries that undo or negate an action, or name none, are none."""
+    # Names in the label are no part of what it says.
+    text = F.regexp_replace(F.replace(F.lower(strip_invisible(label)), F.lit("\u2019"), F.lit("'")), "@[a-z0-9_]+", " ")
+    found = F.when(text.rlike(_pattern(UNDO_WORDS, UNDO_STEMS, UNDO_INSIDE)), None)
+    for action in ("block", "mute"):
+        found = found.when(text.rlike(_pattern(WORDS[action], STEMS[action], INSIDE[action])), action)
+    return found
 
 
 def names_another(label: Column, handle: Column) -> Column:

@@ -72,8 +72,8 @@ RULES = (
     Rule("zh_clickbait", STRONG, ("不看你会后悔", "马上就要被删", "趁没删快看", "百分之九十九的人不知道", "速速转发", "看完惊呆"), ("99% of people",)),
     Rule("zh_ad_traffic", STRONG, ("加我领取", "私信我领", "私我领取", "领券下单", "诚招代理", "代理加盟", "一件代发"), ("dm me to order", "dropshipping agents")),
     Rule("zh_slop_ai", STRONG, ("作为人工智能", "作为语言模型", "总的来说", "希望以上内容对你有帮助", "值得注意的是"), ("as an ai language model",)),
-    Rule("en_nsfw", STRONG, english=("nsfw", "porn", "porno", "xxx", "onlyfans", "nudes", "nude pics", "camgirl", "sexting", "hentai", "escort service", "hookup"), sexual=True),
-    Rule("en_dm_menu", STRONG, english=("dm for menu", "dm me for menu", "dm for price", "dm for prices", "dm me for details", "selling content", "selling pics", "selling vids", "snap premium", "snap menu", "text me now", "text me for", "menu in bio")),
+    Rule("en_nsfw", STRONG, english=("nsfw", "onlyfans", "fansly", "porn", "nudes", "naked pics", "adult video", "cam show", "sex tape", "erotic chat"), sexual=True),
+    Rule("en_dm_menu", STRONG, english=("menu in bio", "paid content available"), near=((("dm me", "dm for", "message me", "text me", "snap me"), ("menu", "price list", "rates", "private content"), 16),)),
     Rule("zh_body_weak", WEAK, _BODY + _LIFE, sexual=True),
     Rule("zh_weak_resource", WEAK, ("资源分享", "看福利", "免费观看", "私密视频", "成人向")),
     Rule("zh_weak_teen", WEAK, ("学生妹", "女大学生", "嫩模", "空乘小姐姐", "车模")),

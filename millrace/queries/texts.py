@@ -100,6 +100,7 @@ def random_names(spark, d):
 _LABELS = (
     ("Block @spam", "block"), ("“Unblock @spam”", None), ("Bloquear a @ann", "block"), ("Desbloquear a @ann", None), ("Silenciar", "mute"), ("屏蔽 @x", "block"), ("取消屏蔽 @x", None), ("ブロック", "block"),
     ("ミュートを解除", None), ("Stummschalten", "mute"), ("Don't block", None), ("Share post", None), ("차단", "block"), ("차단 해제", None), ("заблокировать", "block"), ("разблокировать", None), ("Masquer @x", "mute"),
+    ("Share with commuters", None), ("Blockchain news", None), ("Dejar de bloquear a @ann", None), ("Wyłącz wyciszenie", None), ("음소거", "mute"), ("음소거 해제", None), ("Dempen", "mute"), ("Dempen opheffen", None), ("حظر", "block"), ("إلغاء الحظر", None), ("ปิดเสียง", "mute"), ("เลิกบล็อก", None), ("म्यूट करें", "mute"), ("अनम्यूट करें", None), ("Stummschaltung aufheben", None),
 )
 
 
