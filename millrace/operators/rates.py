@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator, Mapping
+from collections.abc import Mapping
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.ordered import Sliding, in_order
+
 
 def micros(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
@@ -77,39 +79,31 @@ class _Counter:
             self.held.append(at)
 
 
-def _folded(events: DataFrame, key: str, ts: str, order: str, kind: Column, limits: Mapping[str, Limit], calls: Mapping[str, tuple], reserve: Mapping[str, Mapping[str, int]]) -> DataFrame:
-    """order, admitted of every event: one pass over events sorted by key and time, batch by batch.
-
-    What is carried on is one key's counters, which hold no more times than their limits, so a busy key costs no memory.
-    """
+class _Calls:
+    """Counters of several limits, each kind of call drawing on some of them."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, counters = object(), {}
-        for b in batches:
-            out = []
-            for k, at, call in zip(b["k"], b["at"], b["kind"]):
-                if k != current:
-                    current, counters = k, {name: _Counter(limit) for name, limit in limits.items()}
-                checked, drawn = calls.get(call, ((), ()))
-                held_back = reserve.get(call, {})
-                # Every counter is asked, so that a day's turn is seen by all of them.
-                good = all([counters[c].room(at, held_back.get(c, 0)) for c in checked])
-                if good:
-                    for c in drawn:
-                        counters[c].room(at)
-                        counters[c].take(at)
-                out.append(good)
-            yield pd.DataFrame({order: b["o"], "admitted": pd.Series(out, dtype=bool)})
+    def __init__(self, limits: Mapping[str, Limit], calls: Mapping[str, tuple], reserve: Mapping[str, Mapping[str, int]]):
+        self.counters, self.calls, self.reserve = {name: _Counter(limit) for name, limit in limits.items()}, calls, reserve
 
-    rows = events.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("k"), micros(ts).alias("at"), F.col(order).alias("o"), kind.alias("kind"))
-    return rows.repartition("k").sortWithinPartitions("k", "at", "o").mapInPandas(run, f"{order} long, admitted boolean")
+    def run(self, times: np.ndarray, asked: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(times), bool)
+        for i, (at, call) in enumerate(zip(times.tolist(), asked)):
+            checked, drawn = self.calls.get(call, ((), ()))
+            held_back = self.reserve.get(call, {})
+            # Every counter is asked, so that a day's turn is seen by all of them.
+            out[i] = all([self.counters[c].room(at, held_back.get(c, 0)) for c in checked])
+            if out[i]:
+                for c in drawn:
+                    self.counters[c].room(at)
+                    self.counters[c].take(at)
+        return out
 
 
 def admit(events: DataFrame, key: str, ts: str, order: str, limit: int, seconds: int) -> DataFrame:
-    """Which events a sliding limit admits; only admitted ones count."""
-    return _folded(events, key, ts, order, F.lit("call"), {"all": Limit(limit, seconds)}, {"call": (("all",), ("all",))}, {})
+    """Which events a sliding limit admits; only admitted ones count.  Events without a time are left out."""
+    return in_order(events, F.col(key), micros(ts), order, lambda: Sliding(limit, seconds * 1_000_000), name="admitted")
 
 
 def admit_calls(events: DataFrame, key: str, ts: str, order: str, kind: str, limits: Mapping[str, Limit] = LIMITS) -> DataFrame:
     """Which calls of each kind the limits admit together, in order of time; semantics leave a reserve of the model's day."""
-    return _folded(events, key, ts, order, F.col(kind), limits, CALLS, RESERVE)
+    return in_order(events, F.col(key), micros(ts), order, lambda: _Calls(limits, CALLS, RESERVE), F.col(kind), "admitted")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.rates import admit
+from millrace.operators.ordered import FirstIn, in_order
+from millrace.operators.rates import micros
 
-#: The probe's score from which the full question set follows, and the life of a cached decision.
-ESCALATE, CACHE_SECONDS = 0.75, 6 * 3600
+#: The probe's score from which the full question set follows, the life of a cached decision, and how many are held.
+ESCALATE, CACHE_SECONDS, CACHE_ENTRIES = 0.75, 6 * 3600, 2000
 SCORES = ("adult", "solicitation", "deceptive", "severity", "confidence")
 REQUIRED = ("adult", "solicitation", "category", "severity")
 
@@ -67,6 +68,12 @@ def evaluate(routed: DataFrame, full: DataFrame, probe: DataFrame) -> DataFrame:
     return rows.select("id", "route", "escalated", *(v.alias(c) for c, v in clamped.items()), category.alias("category"), "junk", source.alias("source"), degraded.alias("degraded"), note.alias("note"))
 
 
-def cached(requests: DataFrame, key: str, ts: str, order: str, seconds: int = CACHE_SECONDS) -> DataFrame:
-    """Which requests a cache answers: a decision made less than ``seconds`` ago for the same key, not renewed by use."""
-    return admit(requests, key, ts, order, 1, seconds).select(order, (~F.col("admitted")).alias("hit"))
+def cached(requests: DataFrame, key: str | Column, ts: str, order: str, seconds: int = CACHE_SECONDS, most: int = CACHE_ENTRIES, fingerprint: Column | None = None, scope: Column | None = None) -> DataFrame:
+    """Which requests a cache answers: ``order`` and ``hit``.
+
+    A decision answers the same key under the same ``fingerprint`` of the settings for ``seconds``, not renewed by use; of
+    more than ``most`` decisions the first made go.  ``scope`` tells caches apart (a viewer, a shard): each is one pass.
+    """
+    asked = (F.col(key) if isinstance(key, str) else key).cast("string")
+    asked = asked if fingerprint is None else F.concat_ws("\x1f", asked, fingerprint.cast("string"))
+    return in_order(requests, F.lit("") if scope is None else scope, micros(ts), order, lambda: FirstIn(most, seconds * 1_000_000), asked, "hit")
