@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from millrace.functions import text as T
 from millrace.operators import answers as A
 from millrace.operators import menus, prescreen
+from millrace.operators.keywords import contains_join
 from millrace.operators.rules import LINK_ONLY, NEWS, RULES, STRONG
 from millrace.plans.timeline import SCOPE
 from millrace.queries.registered import FULL, KEYS, POSTS, dense, distinct, farm, grams, lines, plain, query, quoted
-from millrace.schema import full_posts, pick, posts, table
+from millrace.schema import full_posts, pick, posts, spread, table
 
 
 @query(f"SELECT doc_id, md5({plain('text')}) AS normal FROM documents")
@@ -177,28 +178,5 @@ def state_render(spark, d):
 @query("SELECT d.doc_id, min(k.item_id) AS item_id FROM documents d JOIN (SELECT item_id, lower(left(text, 30)) AS k FROM benchmark) k ON contains(lower(d.text), k.k) GROUP BY d.doc_id")
 def keyword_theta_join(spark, d):
     """The first keyword (the beginning of a benchmark item) that each document holds."""
-    docs, words = table(spark, d, "documents"), table(spark, d, "benchmark")
+    docs, words = spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "benchmark")
     return contains_join(docs.select("doc_id", F.lower("text").alias("t")), words.select(F.lower(F.left("text", F.lit(30))).alias("k"), "item_id"))
-
-
-def contains_join(texts, keys, gram: int = 8):
-    """doc_id and the smallest item_id of the keywords (k, item_id) that a text (doc_id, t) contains.
-
-    A keyword meets the texts in an equi-join of its first ``gram`` characters, or of all if it has fewer, with their
-    grams of that length, so the list may be of any length; an empty one is in every text.
-    """
-    keys = keys.where("k is not null").withColumn("g", F.left("k", F.lit(gram))).withColumn("n", F.length("g"))
-    used = sorted(r["n"] for r in keys.select("n").distinct().collect())  # at most gram + 1 numbers
-    found = []
-    if 0 in used:
-        least = keys.where("n = 0").agg(F.min("item_id")).first()[0]
-        found.append(texts.where("t is not null").select("doc_id", F.lit(least).cast(keys.schema["item_id"].dataType).alias("item_id")))
-    lengths = [n for n in used if n]
-    if lengths:
-        grams_ = F.array_distinct(F.concat(*(T.grams(F.col("t"), n) for n in lengths)))
-        met = texts.select("doc_id", "t", F.explode(grams_).alias("g")).join(keys, "g")
-        found.append(met.where(F.contains("t", "k")).select("doc_id", "item_id"))
-    if not found:
-        return texts.select("doc_id", F.lit(None).cast(keys.schema["item_id"].dataType).alias("item_id")).where("false")
-    both = found[0] if len(found) == 1 else found[0].union(found[1])
-    return both.groupBy("doc_id").agg(F.min("item_id").alias("item_id"))

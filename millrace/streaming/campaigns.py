@@ -11,8 +11,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from millrace.functions.text import farm_key
 from millrace.operators.emotion import emotion
-from millrace.operators.registry import band_rank
 from millrace.operators.report import KEPT, audit_events, retained
+from millrace.streaming.store import RegistryStore
 
 
 def campaign_sessions(posts: DataFrame, watermark: str = "10 minutes", idle: str = "1799 seconds 999999 microseconds") -> DataFrame:
@@ -109,20 +109,13 @@ def retro_hits(posts: DataFrame, least: int = 2, idle: str | None = None) -> Dat
 
 
 def write_registry(decided: DataFrame, path: str, checkpoint: str):
-    """Appends blocked accounts of every micro-batch, merged per handle, under the batch's number, so a retry overwrites."""
+    """Merges the blocked accounts of every micro-batch into the registry at ``path``, each batch once."""
+    return RegistryStore(decided.sparkSession, path).write_stream(decided, checkpoint)
 
-    def upsert(batch: DataFrame, number: int) -> None:
-        blocked = batch.where("band = 'block'").groupBy("handle")
-        merged = blocked.agg(F.count("*").alias("hits"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.max_by("band", band_rank(F.col("band"))).alias("best_band"))
-        merged.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return decided.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
-
-
-def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    """The registry that the batches add up to."""
-    rank = F.max_by("best_band", band_rank(F.col("best_band")))
-    return spark.read.parquet(path).groupBy("handle").agg(F.sum("hits").alias("hits"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), rank.alias("best_band"))
+def read_registry(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The registry as of its last version, or the one named."""
+    return RegistryStore(spark, path).read(version)
 
 
 def write_counters(decided: DataFrame, path: str, checkpoint: str):

@@ -158,6 +158,27 @@ def test_call_budgets_are_the_fold(spark):
     assert [x["admitted"] for x in got] == want
 
 
+def test_an_automaton_finds_what_grams_find(spark):
+    import random
+
+    from millrace.operators.keywords import contains_join
+
+    r = random.Random(4)
+    texts = ["".join(r.choice("abc中 ") for _ in range(r.randint(0, 40))) for _ in range(60)] + [None, ""]
+    words = ["".join(r.choice("abc中 ") for _ in range(r.choice([1, 2, 5, 9, 12]))) for _ in range(50)] + [None, "zz"]
+    for extra in ([], [""]):
+        docs, keys = spark.createDataFrame(list(enumerate(texts)) + [(3, "zz")], "doc_id long, t string"), spark.createDataFrame([(i + 100, w) for i, w in enumerate(words + extra)], "item_id int, k string")
+        want = {}
+        for i, t in [*enumerate(texts), (3, "zz")]:
+            hits = [n + 100 for n, w in enumerate(words + extra) if t is not None and w is not None and w in t]
+            if hits:
+                want[i] = min(*hits, want.get(i, 10**9))
+        for chars in (0, 10**6):
+            got = contains_join(docs, keys, automaton_chars=chars)
+            assert {x["doc_id"]: x["item_id"] for x in got.collect()} == want and got.schema["item_id"].dataType.simpleString() == "int"
+    assert contains_join(docs, keys.limit(0)).count() == 0
+
+
 def test_long_lists_find_short_keywords(spark):
     from millrace.queries.texts import contains_join
 
