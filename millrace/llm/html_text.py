@@ -10,7 +10,9 @@ copies of an article don't make its text fixed, and a page that would be left wi
 
 A slot belongs to the main text when its ancestors and their attributes are not those of menus, headers,
 footers, sidebars, notices, adverts, forms or comments, and, where a host has an article-like container, when it lies
-inside it.
+inside it.  Where a host's markup names no such container, the wrapper decides by how its pages differ: slots that stand
+on most pages and are not optional, weighed by the varying text that fills them, show the element that holds most of it;
+what lies outside that element, in other elements of its own, is not main text, whatever its name.
 
 Shapes are counted in Spark before they are aligned, and a host's shapes are aligned in groups of at most ``GROUP``
 whose wrappers are aligned again, so a host with a third of all pages costs no more than its distinct shapes.
@@ -31,11 +33,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialise, small, table
+from millrace.llm.common import materialise, small, stored, table
 
 GROUP = 64
 #: A text is fixed when so many distinct pages of a host have it at one place, and this share of all of them.
 LEAST_PAGES, FIXED = 5, 0.9
+#: Where nothing is named: the share of its varying text that leads into an element, the share of pages that an optional slot
+#: must be on to lead, what a box beside the text must have of it, and which elements are boxes.
+MOST, OFTEN, FAIR = 0.6, 0.6, 0.2
+BOXES = frozenset("div section table center".split())
 #: Wrappers of up to so many hosts (a few kB each) are broadcast to the pages; those of more hosts meet them by a shuffle.
 BROADCAST_HOSTS = 20_000
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -208,7 +214,47 @@ def _container(path: tuple[str, ...]) -> int:
     return int(any(MAIN_WORDS.search(s.partition("[")[2].rstrip("]!")) for s in path if "[" in s))
 
 
-def main_slots(wrapper: list[list]) -> list[list[tuple[str, ...]]]:
+def region(weights: dict[tuple[str, ...], float]) -> tuple[str, ...]:
+    """The innermost element that holds most of the varying text: from the root down, as long as one container below has ``MOST`` of it."""
+    at: tuple[str, ...] = ()
+    while True:
+        below: dict[str, float] = {}
+        for path, w in weights.items():
+            # The last step of a path is the block that has the text, not a container of blocks.
+            if path[: len(at)] == at and len(path) > len(at) + 1:
+                below[path[len(at)]] = below.get(path[len(at)], 0.0) + w
+        if not below:
+            return at
+        step, most = max(below.items(), key=lambda x: (x[1], x[0]))
+        if most < MOST * sum(w for p, w in weights.items() if p[: len(at)] == at):
+            return at
+        at = (*at, step)
+
+
+def by_variation(slots: list[tuple[str, ...]], wrapper: list[list], filled: dict[tuple[str, ...], tuple[float, float]]) -> list[tuple[str, ...]]:
+    """Of the slots of a host without named containers those of the region that most of the varying text fills.
+
+    ``filled`` says of a path on which share of the pages it has text, and how much of it varies, in characters a page.
+    """
+    optional = {p for p, o, _ in wrapper if o} - {p for p, o, _ in wrapper if not o}
+    firm = {p: chars for p, (share, chars) in filled.items() if p in slots and chars > 0 and (share >= OFTEN or p not in optional)}
+    if not firm:
+        return slots
+    at = region(firm)
+    inside = [p for p in slots if p[: len(at)] == at]
+    total = sum(filled.get(p, (0, 0.0))[1] for p in inside)
+
+    def part(p: tuple[str, ...]) -> float:
+        """What the element just below the region that holds the slot has of its varying text, and how often it is there."""
+        box = p[: len(at) + 1]
+        return sum(filled.get(q, (0, 0.0))[1] for q in inside if q[: len(box)] == box) / total if total else 1.0
+
+    # Beside the text's own blocks and lists only boxes with a fair part of it count: not those of notices and links.
+    own = lambda p: len(p) <= len(at) + 1 or p[len(at)].partition("[")[0] not in BOXES
+    return [p for p in inside if own(p) or part(p) >= FAIR]
+
+
+def main_slots(wrapper: list[list], filled: dict[tuple[str, ...], tuple[float, float]] | None = None) -> list[list[tuple[str, ...]]]:
     """Paths of the wrapper's slots that may hold main text: outside any container, in one by name, in an article."""
     good: list[list[tuple[str, ...]]] = [[], [], []]
     for path, _, _ in wrapper:
@@ -220,6 +266,8 @@ def main_slots(wrapper: list[list]) -> list[list[tuple[str, ...]]]:
         hidden = any(s.endswith("!") or t in OUTSIDE for s, t in zip(path[:first], tags))
         if not header and not hidden and not any(_outside(s) for s in path[first:]) and path not in good[inside]:
             good[inside].append(path)
+    if filled and not good[1] and not good[2]:
+        good[0] = by_variation(good[0], wrapper, filled)
     return good
 
 
@@ -271,6 +319,19 @@ def fixed_texts(seen: DataFrame, least: int = LEAST_PAGES, share: float = FIXED)
     return counted.where(F.col("n") >= F.col("pages") * share).groupBy("host").agg(F.sort_array(F.collect_list("mark")).alias("fixed"))
 
 
+def filled_slots(seen: DataFrame, fixed: DataFrame, least: int = LEAST_PAGES) -> DataFrame:
+    """(host, filled) of (host, longest, paths, marks, sizes): of each path the share of pages that fill it and the characters a page that vary.
+
+    For hosts of ``least`` distinct pages at least.  A host has as many paths as its wrapper has places.
+    """
+    pages = seen.groupBy("host").agg(F.count_distinct("longest").alias("pages")).where(F.col("pages") >= least)
+    each = seen.join(small(fixed, BROADCAST_HOSTS), "host", "left").select("host", "longest", "fixed", F.explode(F.arrays_zip(F.col("paths").alias("p"), F.col("marks").alias("m"), F.col("sizes").alias("n"))).alias("b"))
+    varies = F.when(F.col("fixed").isNull() | ~F.array_contains("fixed", F.col("b.m")), F.col("b.n")).otherwise(0)
+    by_page = each.groupBy("host", "longest", F.col("b.p").alias("path")).agg(F.max(varies).alias("most"), F.sum(varies).alias("chars"))
+    by_path = by_page.where("chars > 0").groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("chars").alias("chars")).join(pages, "host")
+    return by_path.groupBy("host").agg(F.collect_list(F.struct("path", (F.col("n") / F.col("pages")).alias("share"), (F.col("chars") / F.col("pages")).alias("chars"))).alias("filled"))
+
+
 def wrappers(shapes: DataFrame, group: int = GROUP) -> DataFrame:
     """(host, wrapper) from distinct (host, shape): groups of shapes are aligned, then their wrappers, until one is left."""
 
@@ -295,10 +356,12 @@ def _by_host():
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row, by the wrapper of the page's host."""
-    read = parsed(pages)
-    seen = materialise(read.select("host", "shape", "longest", "marks"))
+    read = stored(parsed(pages), "html-blocks")
+    seen = read.select("host", "shape", "longest", "paths", "marks", F.transform("texts", lambda t: F.length(t)).alias("sizes"))
     found = wrappers(materialise(seen.select("host", "shape").distinct()))
-    known = materialise(_with_slots(found).join(fixed_texts(seen), "host", "left"))  # a row for each host
+    fixed = materialise(fixed_texts(seen))
+    filled = filled_slots(seen, fixed)
+    known = materialise(_with_slots(found.join(filled, "host", "left")).join(fixed, "host", "left"))  # a row for each host
     joined = read.join(small(known, BROADCAST_HOSTS), "host", "left")
     # A page's main text lies in the most article-like slots of its host's wrapper that it has.
     levels = [F.get("slots", F.lit(i)) for i in (2, 1)]
@@ -313,14 +376,17 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
 
 
 def _with_slots(found: DataFrame) -> DataFrame:
-    """(host, slots) of (host, wrapper): its main slots by level."""
+    """(host, slots) of (host, wrapper, filled): its main slots by level."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            slots = [[[STEP.join(p) for p in level] for level in main_slots(_read(w))] for w in b.column("wrapper").to_pylist()]
+            slots = []
+            for w, filled in zip(b.column("wrapper").to_pylist(), b.column("filled").to_pylist()):
+                by_path = {tuple(x["path"].split(STEP)) if x["path"] else (): (x["share"], x["chars"]) for x in filled or ()}
+                slots.append([[STEP.join(p) for p in level] for level in main_slots(_read(w), by_path)])
             yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(slots, pa.list_(pa.list_(pa.string())))], ["host", "slots"])
 
-    return found.select("host", "wrapper").mapInArrow(run, "host string, slots array<array<string>>")
+    return found.select("host", "wrapper", "filled").mapInArrow(run, "host string, slots array<array<string>>")
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
