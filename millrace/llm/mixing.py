@@ -30,13 +30,19 @@ FLATTEN = 0.5
 EPS = 1e-9
 
 
-def ranked(docs: DataFrame, key: Column, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """``docs`` with ``rank`` (0, 1, ...) within ``source`` in the order of ``key``'s hash.
+def _salt(docs: DataFrame) -> Column:
+    """Tells rows without an id apart, by their text where there is one: else all of them would be one group."""
+    text = docs["text"] if "text" in docs.columns else F.lit(None)
+    return F.when(docs["doc_id"].isNull(), F.xxhash64(text.cast("string"))).otherwise(F.lit(0).cast("long"))
+
+
+def ranked(docs: DataFrame, key: Column, bucket_rows: int = BUCKET_ROWS, salt: Column | None = None) -> DataFrame:
+    """``docs`` with ``rank`` (0, 1, ...) within ``source`` in the order of the hash of ``key`` and ``salt``.
 
     Hash ranges split every source into buckets of about ``bucket_rows`` rows: only a bucket is sorted at once, and the
     ranks of earlier buckets come from a running sum over the few bucket counts.
     """
-    hashed = docs.withColumn("h", F.xxhash64(key))
+    hashed = docs.withColumn("h", F.xxhash64(key) if salt is None else F.xxhash64(key, salt))
     total = hashed.count()
     n = max(1, -(-total // bucket_rows))
     hashed = hashed.withColumn("bucket", F.pmod(F.shiftrightunsigned("h", 33), F.lit(n)).cast("int"))
@@ -138,19 +144,20 @@ def mixed(
     """doc_id, source, block, slot, position of every row, then the columns named in ``carry``."""
     # A null source takes part in joins under a name of its own.
     named = F.coalesce(F.concat(F.lit("="), docs["source"].cast("string")), F.lit(""))
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), named.alias("source"), *(docs[f"`{c}`"].alias(c) for c in carry))
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), named.alias("source"), *(docs[f"`{c}`"].alias(c) for c in carry), _salt(docs).alias("salt"))
     sources = materialise(weighted(rows.select("doc_id", "source"), weights, flatten))
     slots = schedule(sources, block, frame)
-    numbered = ranked(rows, F.col("doc_id")).withColumn("block", F.floor(F.col("rank") / block))
-    # Every block is full but the last of each source, so a position is the slot's less what last blocks before it lack.
-    short = (
-        slots.join(sources, "source")
-        .where((F.col("docs") % block != 0) & (F.col("block") == F.floor(F.col("docs") / block)))
-        .groupBy()
-        .agg(F.collect_list(F.struct(F.col("slot").alias("slot"), (block - F.col("docs") % block).alias("lack"))).alias("short"))
-    )
-    lacking = F.aggregate(F.filter("short", lambda x: x["slot"] < F.col("slot")), F.lit(0).cast("long"), lambda a, x: a + x["lack"])
-    slots = slots.crossJoin(F.broadcast(short)).select("source", "block", "slot", (F.col("slot") * block - lacking).alias("begin"))
+    numbered = ranked(rows, F.col("doc_id"), salt=F.col("salt")).withColumn("block", F.floor(F.col("rank") / block))
+    # Every block is full but the last of each source, so a position is the slot's less what last blocks before it lack:
+    # summed within each frame, and over the frames before it.
+    lack = F.when((F.col("docs") % block != 0) & (F.col("block") == F.floor(F.col("docs") / block)), block - F.col("docs") % block).otherwise(0)
+    slots = slots.join(small(sources.select("source", "docs"), BROADCAST_SLOTS), "source").select("source", "block", "slot", lack.alias("lack"), F.floor(F.col("slot") / frame).alias("f"))
+    slots = materialise(slots)
+    earlier = Window.orderBy("f").rowsBetween(Window.unboundedPreceding, -1)  # a row for each frame
+    frames = slots.groupBy("f").agg(F.sum("lack").alias("lack")).select("f", F.coalesce(F.sum("lack").over(earlier), F.lit(0)).alias("before"))
+    within = Window.partitionBy("f").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    slots = slots.withColumn("within", F.coalesce(F.sum("lack").over(within), F.lit(0))).join(frames, "f")
+    slots = slots.select("source", "block", "slot", (F.col("slot") * block - F.col("within") - F.col("before")).alias("begin"))
     out = numbered.join(small(slots, BROADCAST_SLOTS), ["source", "block"])
     source = F.when(F.col("source") != "", F.expr("substring(source, 2)")).alias("source")
     return out.select("doc_id", source, "block", "slot", (F.col("begin") + F.col("rank") - F.col("block") * block).alias("position"), *carry)
