@@ -12,8 +12,8 @@ id.  Where a bucket then still holds several classes, sketches are held against
 block: first each member's ``NEAREST`` most similar others are verified, then, across the classes that are left,
 everything that can still be a link.  A pair can't be one if its registers agree too seldom (by over 4.5 standard
 deviations), or if a bitmap of the shingles shows too large a difference (a sure bound).
-So no candidate link that could join two classes is lost, a bucket of thousands of copies costs few comparisons a
-member, and no group is expanded into all pairs or held in one task.
+A bucket of thousands of copies costs few comparisons a member, and no group is held in one task.  What can be lost: of
+pairs at a similarity of exactly 0.8 banding misses 6 in 100,000, the cut at 4.5 deviations 3 in a million more.
 
 Results: one row per row of the table with the smallest doc_id of its class.  Texts without words (null, empty, blank)
 and rows without an id link with nothing; rows that repeat an id are one document; other columns are not read.
