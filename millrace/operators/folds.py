@@ -189,19 +189,21 @@ def plan_calls(replies: DataFrame, candidates: DataFrame, references: DataFrame,
 def read_beta(answered: DataFrame, posts: DataFrame, s: Folding = Folding()) -> DataFrame:
     """Groups from the model's answers (seq, candidate, similarity, noul, choice): the earliest confirmed candidate stands for the group.
 
-    ``posts`` (seq, id, text) tells verbatim repeats from paraphrases where the model names no kind.
+    ``posts`` (seq, id, text, and handle if it has one) tells verbatim repeats from paraphrases where the model names no
+    kind, and who wrote what the group repeats: bare, empty where nobody is known.
     """
     kinds = ("verbatim", "paraphrase", "same_claim", "emotion")
     named = F.lower(F.trim("choice"))
     sure = answered.where(F.col("noul").between(s.confirm, 1.0)).withColumn("named", F.when(named.isin(*kinds), named))
     earliest = F.min_by(F.struct("candidate", "named", F.col("similarity").alias("local")), "candidate")
     groups = sure.groupBy("seq").agg(earliest.alias("e"), (F.count("*") + 1).alias("group_size"), F.round(F.max("noul"), 3).alias("similarity"))
-    text = posts.select("seq", "id", farm_text(F.col("text")).alias("normal"))
-    own, other = text.select("seq", F.col("normal").alias("own")), text.select(F.col("seq").alias("candidate"), F.col("id").alias("duplicate_of"), F.col("normal").alias("theirs"))
+    handle = F.regexp_replace(F.trim(F.coalesce(F.col("handle") if "handle" in posts.columns else F.lit(None).cast("string"), F.lit(""))), "^@", "")
+    text = posts.select("seq", "id", handle.alias("handle"), farm_text(F.col("text")).alias("normal"))
+    own, other = text.select("seq", F.col("normal").alias("own")), text.select(F.col("seq").alias("candidate"), F.col("id").alias("duplicate_of"), F.col("handle").alias("duplicate_of_handle"), F.col("normal").alias("theirs"))
     rows = groups.select("seq", "e.candidate", "e.named", "e.local", "group_size", "similarity").join(own, "seq").join(other, "candidate")
     told = F.when((F.col("own") != "") & (F.col("own") == F.col("theirs")), "verbatim").when(F.col("local") >= s.paraphrase, "paraphrase").otherwise("same_claim")
     return rows.select(
-        "seq", F.col("candidate").alias("representative"), "duplicate_of", group_key(F.col("theirs"), F.col("duplicate_of")).alias("group_key"), "group_size", "similarity",
+        "seq", F.col("candidate").alias("representative"), "duplicate_of", "duplicate_of_handle", group_key(F.col("theirs"), F.col("duplicate_of")).alias("group_key"), "group_size", "similarity",
         F.coalesce("named", told).alias("kind"),
     )
 

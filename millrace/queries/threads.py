@@ -133,9 +133,9 @@ _ANSWERED = (
     f"SELECT seq, candidate, similarity, ((seq * 31 + candidate * 7) % 101) / 100.0::DOUBLE AS noul, CASE WHEN candidate % 3 = 0 THEN ['verbatim', 'unheard'][candidate % 2 + 1] END AS choice FROM ({_CANDIDATES})"
 )
 _BETA = (
-    f"WITH {REPLIES}, t AS (SELECT seq, id, {farm('text')} AS k FROM replies), s AS (SELECT *, CASE WHEN choice = 'verbatim' THEN choice END AS named FROM ({_ANSWERED}) WHERE noul >= 0.7), "
+    f"WITH {REPLIES}, t AS (SELECT seq, id, handle, {farm('text')} AS k FROM replies), s AS (SELECT *, CASE WHEN choice = 'verbatim' THEN choice END AS named FROM ({_ANSWERED}) WHERE noul >= 0.7), "
     "g AS (SELECT seq, min(candidate) AS representative, arg_min(coalesce(named, ''), candidate) AS named, arg_min(similarity, candidate) AS local, count(*) + 1 AS group_size, round(max(noul), 3) AS similarity FROM s GROUP BY seq) "
-    f"SELECT g.seq, representative, y.id AS duplicate_of, CASE WHEN y.k = '' THEN {_KEY.replace('y.k', 'y.id::VARCHAR')} ELSE {_KEY} END AS group_key, group_size, similarity, "
+    f"SELECT g.seq, representative, y.id AS duplicate_of, y.handle AS duplicate_of_handle, CASE WHEN y.k = '' THEN {_KEY.replace('y.k', 'y.id::VARCHAR')} ELSE {_KEY} END AS group_key, group_size, similarity, "
     "CASE WHEN named <> '' THEN named WHEN x.k <> '' AND x.k = y.k THEN 'verbatim' WHEN local >= 0.6 THEN 'paraphrase' ELSE 'same_claim' END AS kind FROM g JOIN t x ON x.seq = g.seq JOIN t y ON y.seq = g.representative"
 )
 

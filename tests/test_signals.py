@@ -100,3 +100,19 @@ def test_images_are_decoded(spark, tmp_path):
     (tmp_path / "b.ppm").write_bytes(b"P6\n90 70\n255\n" + px.tobytes())
     got = read_images(spark, str(tmp_path)).groupBy("image_id").agg(F.count("*").alias("n"), F.sum("r").alias("r")).collect()
     assert len(got) == 2 and len({(r["n"], r["r"]) for r in got}) == 1 and got[0]["n"] == 64 * 50
+
+
+def test_several_logs_are_one_tail(spark):
+    from millrace.operators import report
+
+    logs = [spark.createDataFrame([(n, f"log{k}") for n in range(lo, hi)], "seq long, of string") for k, (lo, hi) in enumerate([(0, 40), (30, 60), (55, 58)])]
+    got = report.retained(logs, "seq", 25).collect()
+    assert sorted(r["seq"] for r in got) == list(range(35, 60))
+    assert sorted(r["seq"] for r in report.retained(logs[:1], "seq", 3).collect()) == [37, 38, 39] and report.retained([logs[0].limit(0), logs[1].limit(0)], "seq").count() == 0
+
+
+def test_who_wrote_what_a_group_repeats(spark):
+    answered = spark.createDataFrame([(3, 1, 0.9, 0.9, None), (3, 2, 0.5, 0.95, "verbatim"), (4, 2, 0.5, 0.8, None), (5, 3, 0.5, 0.1, None)], "seq long, candidate long, similarity double, noul double, choice string")
+    posts = spark.createDataFrame([(1, 11, "@ann", "a text"), (2, 12, None, "b text"), (3, 13, "cy", "a  text"), (4, 14, "d", "z"), (5, 15, "e", "q")], "seq long, id long, handle string, text string")
+    got = {r["seq"]: (r["duplicate_of"], r["duplicate_of_handle"], r["kind"], r["group_size"]) for r in folds.read_beta(answered, posts).collect()}
+    assert got == {3: (11, "ann", "verbatim", 3), 4: (12, "", "same_claim", 2)}
