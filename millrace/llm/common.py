@@ -15,10 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one of the driver's only where the session names none (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share; a temporary one of the driver's only where a local session names none (tests)."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="millrace-")
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="millrace-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -80,6 +82,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of ``scratch`` that nothing reads any more."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df``, written as Parquet into the shared folder and read again: smaller than a checkpoint, and read by column."""
     path = scratch(df.sparkSession, name)
