@@ -283,25 +283,24 @@ def _read(text: str) -> list[list]:
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, shape, paths, texts and marks (hashes of path and text) of the blocks of each page, and the hash of its longest text."""
+    """page_id, url, host, shape, paths and texts of the blocks of each page, and the hash of its longest text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            shapes, paths, texts, marks, longest = [], [], [], [], []
+            shapes, paths, texts, longest = [], [], [], []
             for page in b.column("html").to_pylist():
                 found = blocks(page or "")
                 shapes.append(_write(fold([p for p, _ in found])))
                 paths.append([STEP.join(p) for p, _ in found])
                 texts.append([t for _, t in found])
-                marks.append([_hash(f"{STEP.join(p)}{SEP}{t}") for p, t in found])
                 longest.append(_hash(max(texts[-1], key=len, default="")))
-            words, numbers = pa.list_(pa.string()), pa.list_(pa.int64())
-            columns = [b.column("page_id"), b.column("url"), b.column("host"), pa.array(shapes, pa.string()), pa.array(paths, words), pa.array(texts, words), pa.array(marks, numbers), pa.array(longest, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "host", "shape", "paths", "texts", "marks", "longest"])
+            words = pa.list_(pa.string())
+            columns = [b.column("page_id"), b.column("url"), b.column("host"), pa.array(shapes, pa.string()), pa.array(paths, words), pa.array(texts, words), pa.array(longest, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "host", "shape", "paths", "texts", "longest"])
 
     host = F.lower(F.coalesce(F.regexp_extract(F.col("url"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)", 1), F.lit("")))
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), pages["html"].cast("string").alias("html"))
-    return rows.withColumn("host", host).mapInArrow(run, "page_id long, url string, host string, shape string, paths array<string>, texts array<string>, marks array<long>, longest long")
+    return rows.withColumn("host", host).mapInArrow(run, "page_id long, url string, host string, shape string, paths array<string>, texts array<string>, longest long")
 
 
 def _hash(text: str) -> int:
@@ -356,7 +355,9 @@ def _by_host():
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row, by the wrapper of the page's host."""
-    read = stored(parsed(pages), "html-blocks")
+    # What is stored is what can't be made from the rest: marks are hashes of path and text.
+    read = stored(parsed(pages), "html-blocks", "zstd")
+    read = read.withColumn("marks", F.zip_with("paths", "texts", lambda p, t: F.xxhash64(p, t)))
     seen = read.select("host", "shape", "longest", "paths", "marks", F.transform("texts", lambda t: F.length(t)).alias("sizes"))
     found = wrappers(materialise(seen.select("host", "shape").distinct()))
     fixed = materialise(fixed_texts(seen))
