@@ -9,9 +9,10 @@ they read stays until ``vacuum`` removes folders that no kept version names.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamWriter, DataSourceWriter, WriterCommitMessage
 
@@ -111,8 +112,6 @@ class RegistryStore:
 
 def _few(rows: DataFrame, most: int, latest: bool) -> DataFrame:
     """handle and the first (or last) ``most`` distinct values of it, in order of first sight."""
-    from pyspark.sql import Window
-
     first = rows.groupBy("handle", "value").agg(F.min(F.struct("ts", "n")).alias("at"))
     ahead = (F.desc("at"), F.desc("value")) if latest else (F.asc("at"), F.asc("value"))
     kept = first.withColumn("rank", F.row_number().over(Window.partitionBy("handle").orderBy(*ahead))).where(F.col("rank") <= most)
@@ -131,8 +130,6 @@ class _Notifier(DataSourceWriter, DataSourceStreamWriter):
         self.notify, self.done = notify, done
 
     def write(self, iterator) -> _Sent:
-        import json
-
         sent = failed = 0
         for row in iterator:
             try:
