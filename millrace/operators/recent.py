@@ -92,7 +92,8 @@ def over_windows(observed: DataFrame, size: int, kept: Callable[[DataFrame], Dat
             for _, part in pd.concat(held).groupby("stretch"):
                 yield worked(part)
 
-    dealt = stretches(observed, size, kept, stretch).repartition("stretch")
+    # Written once: tails, stretches and their pasts all read it.
+    dealt = stretches(kept(observed), size, kept, stretch).repartition("stretch")
     return dealt.sortWithinPartitions("stretch", "place").mapInPandas(run, schema)
 
 
