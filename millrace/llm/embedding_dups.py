@@ -2,7 +2,8 @@
 
 Each tree splits at the median of a random projection, recursively; vectors within a margin of the median go both ways,
 so near pairs rarely part.  A node that the margin would mostly duplicate is a dense group and stays whole.  The trees
-are fitted on a sample of at most ``SAMPLE`` vectors (a documented bound); every vector is indexed by every tree.
+are fitted on a sample of at most ``SAMPLE`` vectors (a documented bound); every vector is indexed by every tree.  Leaves
+that the whole table fills beyond ``GROWN`` times their size are split further by their own members, round by round.
 Within a leaf all pairs are compared by cosine in double precision; a large leaf is dealt into blocks, and each pair of
 blocks is a group of its own, so no leaf is held in one task.  A pair that meets in several leaves counts in the first.
 Exact copies are merged beforehand and counted by weight.
@@ -22,9 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import components, materialise, table
+from millrace.llm.common import components, materialise, small, table
 
 COSINE, TREES, LEAF, BLOCK, SAMPLE, COMPONENTS, SPILLED = 0.95, 6, 400, 1024, 20_000, 4_000_000, 0.5
+#: A leaf of so many times its size is split on; directions a round to choose from; leaves (24 bytes each) to broadcast.
+GROWN, DIRECTIONS, BROADCAST_LEAVES = 4, 256, 1_000_000
 
 
 @dataclass(frozen=True)
@@ -112,12 +115,13 @@ def _compare(x: np.ndarray, y: np.ndarray, seen_x: np.ndarray, seen_y: np.ndarra
 
 def _group(leaf: int, own, rep, weight, x, held: list, cosine: float):
     """(rep, links) of this group and (a, b) edges that span what it links."""
-    earlier = np.unique(np.concatenate([np.asarray(h, np.int64) for h in held]))
-    earlier = earlier[earlier < leaf]
-    seen = np.zeros((len(rep), len(earlier)), bool)
-    for k, h in enumerate(held):
-        h = np.asarray(h, np.int64)
-        seen[k, np.searchsorted(earlier, h[h < leaf])] = True
+    # Only earlier leaves that hold several of the group's vectors can have shown a pair of them.
+    of = np.repeat(np.arange(len(rep)), [len(h) for h in held])
+    found, which, members = np.unique(np.concatenate([np.asarray(h, np.int64) for h in held]), return_inverse=True, return_counts=True)
+    used = (members > 1) & (found < leaf)
+    hit = used[which]
+    seen = np.zeros((len(rep), used.sum()), bool)
+    seen[of[hit], (np.cumsum(used) - 1)[which[hit]]] = True
     one = own.min() == own.max()
     left = np.flatnonzero(own == own.min())
     right = left if one else np.flatnonzero(own == own.max())
@@ -165,9 +169,9 @@ def near_duplicates(
         total = own.count()
         picked = own.orderBy(F.xxhash64("vkey"), "rep").limit(max(1, min(sample, COMPONENTS // dims))).select("v").toArrow()
         forest = grow(_unit(picked.column("v").combine_chunks(), dims), total, trees, leaf, cosine)
-        leafed = materialise(_leaves(own, forest, dims, cosine))
-        per_leaf = leafed.groupBy("leaf").agg(F.count("*").alias("n"))  # at most trees * sample / 8 rows
-        dealt = leafed.join(F.broadcast(per_leaf), "leaf").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+        leafed = _refined(materialise(_leaves(own, forest, dims, cosine)), GROWN * leaf, dims, cosine)
+        per_leaf = materialise(leafed.groupBy("leaf").agg(F.count("*").alias("n")))
+        dealt = leafed.join(small(per_leaf, BROADCAST_LEAVES), "leaf").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
         dealt = dealt.where("n > 1").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         dealt = dealt.select("leaf", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "weight", "held", "v")
 
@@ -200,11 +204,62 @@ def _leaves(reps: DataFrame, forest: list[Tree], dims: int, cosine: float) -> Da
             order = np.lexsort((leaf, row))
             row, leaf = row[order], leaf[order]
             edge = np.searchsorted(row, np.arange(len(x) + 1))
-            held = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(leaf.astype(np.int32))).take(pa.array(row))
+            held = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(leaf.astype(np.int64))).take(pa.array(row))
             taken = [b.column(k).take(pa.array(row)) for k in ("rep", "weight", "v")]
-            yield pa.RecordBatch.from_arrays([pa.array(leaf.astype(np.int32)), *taken[:2], held, taken[2]], ["leaf", "rep", "weight", "held", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(leaf.astype(np.int64)), *taken[:2], held, taken[2]], ["leaf", "rep", "weight", "held", "v"])
 
-    return reps.select("rep", "weight", "v").mapInArrow(run, "leaf int, rep long, weight long, held array<int>, v binary")
+    return reps.select("rep", "weight", "v").mapInArrow(run, "leaf long, rep long, weight long, held array<long>, v binary")
+
+
+def _projected(rows: DataFrame, turn: int, dims: int) -> DataFrame:
+    """Adds ``p``, the place of each vector along one of the round's directions, which its leaf's id picks."""
+    directions = np.random.default_rng(1000 + turn).standard_normal((DIRECTIONS, dims))
+    directions /= np.linalg.norm(directions, axis=1, keepdims=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                leaf = b.column("leaf").to_numpy()
+                p = np.einsum("ij,ij->i", _unit(b.column("v"), dims), directions[leaf % DIRECTIONS])
+                yield b.append_column("p", pa.array(p))
+
+    return rows.mapInArrow(run, "leaf long, rep long, weight long, v binary, p double")
+
+
+def _refined(leafed: DataFrame, most: int, dims: int, cosine: float) -> DataFrame:
+    """``leafed`` with its leaves of over ``most`` vectors split by random projections at their own members' medians.
+
+    The sample bounds how deep the trees are, so without this leaves would grow with the table.  Medians are approximate
+    and merged before the shuffle; no leaf is gathered anywhere.  As in the trees, vectors within the margin go both
+    ways, and a leaf that the margin would mostly duplicate stays whole.  Ids of new leaves are hashes: two that are
+    equal make one leaf, which costs comparisons and no link.
+    """
+    margin, closed, open_, turn = margin_of(cosine, dims), [], leafed.drop("held"), 0
+    while True:
+        large = materialise(open_.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > most))
+        if large.isEmpty():
+            break
+        placed = _projected(open_.join(small(large.select("leaf"), BROADCAST_LEAVES), "leaf", "left_semi").select("leaf", "rep", "weight", "v"), turn, dims)
+        spread = placed.groupBy("leaf").agg(F.percentile_approx("p", F.array(*(F.lit(k / 100) for k in range(101))), 500).alias("q"), F.min("p").alias("lo"), F.max("p").alias("hi"))
+        middle = F.col("q")[50]
+        spilled = F.size(F.filter("q", lambda x: F.abs(x - F.col("q")[50]) <= margin)) / 101
+        cuts = materialise(spread.where((spilled <= SPILLED) & (F.col("lo") < middle - margin) & (F.col("hi") > middle + margin)).select("leaf", middle.alias("m")))
+        if cuts.isEmpty():
+            break
+        cuts = small(cuts, BROADCAST_LEAVES)
+        side = lambda k, test: F.when(test, F.xxhash64("leaf", F.lit(k)))
+        sides = F.array_compact(F.array(side(0, F.col("p") <= F.col("m") + margin), side(1, F.col("p") >= F.col("m") - margin)))
+        closed.append(open_.join(cuts, "leaf", "left_anti").select("leaf", "rep", "weight", "v"))
+        open_ = materialise(placed.join(cuts, "leaf").select(F.explode(sides).alias("leaf"), "rep", "weight", "v"))
+        turn += 1
+    if not closed:
+        return leafed
+    rows = open_
+    for part in closed:
+        rows = rows.unionByName(part)
+    rows = materialise(rows.dropDuplicates(["leaf", "rep"]))
+    held = rows.groupBy("rep").agg(F.collect_set("leaf").alias("held"))  # a vector's copies: few a tree
+    return materialise(rows.join(held, "rep").select("leaf", "rep", "weight", "held", "v"))
 
 
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,10 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from corpus_fixtures import documents, prose, rows
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from millrace.llm import embedding_dups
@@ -198,6 +200,40 @@ def test_held_out_accuracy(spark, name, label, least):
     assert len(out) >= 20 and np.mean([r.predicted == labels[r.doc_id] for r in out]) >= least
 
 
+def _planted_vectors(n: int, dims: int, dense: int, seed: int = 5) -> np.ndarray:
+    """Random vectors, every third followed by a neighbour at a cosine of some 0.93 to 1, and one dense group."""
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n, dims))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    noise = rng.standard_normal((n, dims)) / np.sqrt(dims) * rng.uniform(0.0, 0.38, (n, 1))
+    x[1::3] = x[0::3][: len(x[1::3])] + noise[1::3]
+    x[:dense] = x[0] + noise[:dense] * 0.5
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+
+
+def test_embeddings_leaves_are_split_by_their_members(spark, monkeypatch):
+    """A small sample leaves large leaves: splitting them keeps recall, makes up no link, and counts none twice."""
+    x = _planted_vectors(6000, 32, 300)
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.95).sum(1) - 1
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": list(x)}))
+    sizes, grown = [], embedding_dups._refined
+
+    def refined(leafed, *args):
+        out = grown(leafed, *args)
+        sizes.append([f.groupBy("leaf").count().agg(F.max("count")).first()[0] for f in (leafed, out)])
+        return out
+
+    monkeypatch.setattr(embedding_dups, "_refined", refined)
+    for broadcast in (1_000_000, 0):
+        monkeypatch.setattr(embedding_dups, "BROADCAST_LEAVES", broadcast)
+        got = np.array([r.n_links for r in embedding_dups.near_duplicates(df, leaf=100, sample=64).orderBy("vec_id").collect()])
+        assert (got <= want).all() and got.sum() >= 0.95 * want.sum()
+        assert (got > 0)[want > 0].mean() >= 0.95
+    # The dense group of 300 stays whole with what shares its leaf, as long as it is about half of that leaf.
+    assert all(after <= 700 < before for before, after in sizes), sizes
+
+
 def test_embeddings_sql(spark):
     con = duckdb.connect()
     con.execute(f"create view embeddings as select * from '{SF}/embeddings.parquet'")
