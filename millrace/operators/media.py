@@ -4,44 +4,88 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Shares from which an image is suspicious or blocked, and from which one colour makes it no photograph.
 SUSPICIOUS, BLOCKED, FLAT_IGNORED, FLAT_BLOCKED, TEXTURE = 0.45, 0.70, 0.90, 0.85, 0.05
 
 
-def skin(r: Column, g: Column, b: Column) -> Column:
+#: Pixels that a task holds at once; more images than that make several pieces.
+PIECE = 1 << 20
+
+
+def skin(r: np.ndarray, g: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Skin by RGB or by hue from -10 to 50 degrees; whole numbers only, so every engine agrees."""
-    top, low = F.greatest(r, g, b), F.least(r, g, b)
+    top, low = np.maximum(np.maximum(r, g), b), np.minimum(np.minimum(r, g), b)
     d = top - low
-    rgb = (r > 95) & (g > 40) & (b > 20) & (d > 15) & (F.abs(r - g) > 15) & (r > g) & (r > b)
+    rgb = (r > 95) & (g > 40) & (b > 20) & (d > 15) & (np.abs(r - g) > 15) & (r > g) & (r > b)
     warm = (top == r) & (6 * (g - b) >= -d) & (6 * (g - b) <= 5 * d)
     return rgb | (warm & (4 * top >= 255) & (100 * d >= 15 * top) & (10 * d <= 9 * top))
 
 
+def packed(pixels: DataFrame) -> DataFrame:
+    """Images as rows (image_id, width, height, px) from a table of pixels (image_id, width, height, x, y, r, g, b)."""
+    px = F.collect_list(F.struct(*(F.col(c).cast("int").alias(c) for c in "xyrgb")))
+    return pixels.groupBy("image_id").agg(F.first("width").alias("width"), F.first("height").alias("height"), px.alias("px"))
+
+
 def image_stats(pixels: DataFrame, grid: int = 4) -> DataFrame:
-    """One row per image of (image_id, width, height, x, y, r, g, b).
+    """``packed_stats`` of a table of pixels."""
+    return packed(pixels).transform(packed_stats, grid)
 
-    Pixels are dealt by image once; the window and both aggregates use that dealing.
+
+def packed_stats(images: DataFrame, grid: int = 4) -> DataFrame:
+    """One row per image of (image_id, width, height, px), an image being one row: nothing is dealt out or sorted by pixel.
+
+    Tasks hold ``PIECE`` pixels (or one image) at a time, however many images they read.
     """
-    following = Window.partitionBy("image_id").orderBy("y", "x")
-    jump = sum(k * (F.col(c) - F.lead(c).over(following)) for c, k in (("r", 299), ("g", 587), ("b", 114)))
-    inner = F.col("x") + 1 < F.col("width")
-    cell = F.floor(F.col("y") * grid / F.col("height")) * grid + F.floor(F.col("x") * grid / F.col("width"))
-    bucket = F.floor(F.col("r") / 16) * 256 + F.floor(F.col("g") / 16) * 16 + F.floor(F.col("b") / 16)
-    seen = pixels.select(
-        "image_id", cell.alias("cell"), bucket.alias("bucket"), skin(F.col("r"), F.col("g"), F.col("b")).cast("long").alias("skin"),
-        inner.cast("long").alias("checked"), (inner & (F.abs(jump) > 24_000)).cast("long").alias("edge"),
-    )
-    cells = seen.groupBy("image_id", "cell").agg(F.count("*").alias("n"), F.sum("skin").alias("skin"), F.sum("checked").alias("checked"), F.sum("edge").alias("edge"))
-    whole = cells.groupBy("image_id").agg(
-        F.sum("n").alias("pixels"), (F.sum("skin") / F.sum("n")).alias("skin_ratio"), F.max(F.col("skin") / F.col("n")).alias("max_cell_ratio"),
-        F.count_if(F.col("skin") * 10 >= F.col("n") * 6).alias("dominant_cells"), F.coalesce(F.try_divide(F.sum("edge"), F.sum("checked")), F.lit(0.0)).alias("texture"),
-    )
-    modal = seen.groupBy("image_id", "bucket").agg(F.count("*").alias("n")).groupBy("image_id").agg(F.max("n").alias("modal"))
-    return whole.join(modal, "image_id").withColumn("cells", F.lit(grid * grid)).withColumn("flat_ratio", F.col("modal") / F.col("pixels")).drop("modal")
+
+    def piece(of: np.ndarray, n: int, size: np.ndarray, px: pa.StructArray) -> list[pa.Array]:
+        x, y, r, g, b = (px.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in "xyrgb")
+        place = (of << 40) + (y << 20) + x
+        if (place[1:] < place[:-1]).any():
+            order = np.argsort(place, kind="stable")
+            of, x, y, r, g, b = (v[order] for v in (of, x, y, r, g, b))
+        width, height = size[of].T
+        is_skin, inner = skin(r, g, b), x + 1 < width
+        jump = np.zeros(len(of), np.int64)
+        jump[:-1] = np.abs(sum(k * (v[:-1] - v[1:]) for v, k in ((r, 299), (g, 587), (b, 114)))) * (of[:-1] == of[1:])
+        sums = lambda at, m, what=None: np.bincount(at, what, m).astype(np.int64)
+        pixels, checked = sums(of, n), sums(of, n, inner)
+        texture = np.divide(sums(of, n, inner & (jump > 24_000)), checked, out=np.zeros(n), where=checked > 0)
+        at, k = of * grid * grid + y * grid // height * grid + x * grid // width, n * grid * grid
+        inside, bare = sums(at, k), sums(at, k, is_skin)
+        whose = np.flatnonzero(inside)
+        inside, bare, whose = inside[whose], bare[whose], whose // (grid * grid)
+        most = np.zeros(n)
+        np.maximum.at(most, whose, bare / inside)
+        bucket, counts = np.unique((of << 32) + r // 16 * 256 + g // 16 * 16 + b // 16, return_counts=True)
+        modal = np.zeros(n, np.int64)
+        np.maximum.at(modal, bucket >> 32, counts)
+        return [pa.array(v) for v in (pixels, sums(of, n, is_skin) / pixels, most, sums(whose, n, bare * 10 >= inside * 6), texture, np.full(n, grid * grid, np.int32), modal / pixels)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = b.filter(pc.greater(pc.list_value_length(b.column("px")), 0))
+            px, size = b.column("px"), np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in ("width", "height")], axis=1).astype(np.int64)
+            ends = np.cumsum(pc.list_value_length(px).to_numpy(zero_copy_only=False))
+            lo = 0
+            while lo < b.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PIECE, "right")))
+                part = px.slice(lo, hi - lo)
+                found = piece(np.asarray(pc.list_parent_indices(part)), hi - lo, size[lo:hi], part.flatten())
+                yield pa.RecordBatch.from_arrays([b.column("image_id").slice(lo, hi - lo), *found], names)
+                lo = hi
+
+    stats = "pixels long, skin_ratio double, max_cell_ratio double, dominant_cells long, texture double, cells int, flat_ratio double"
+    names = ["image_id", *(c.split()[0] for c in stats.split(", "))]
+    return images.select("image_id", "width", "height", "px").mapInArrow(run, StructType([StructField("image_id", images.schema["image_id"].dataType), *StructType.fromDDL(stats)]))
 
 
 def verdict(stats: DataFrame) -> DataFrame:

@@ -21,3 +21,24 @@ def test_prose_that_is_a_feeling_by_chance(spark, tmp_path, name):
     spark.createDataFrame(made, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     got, want = held(spark, ["conversations"], name, tmp_path)
     assert got == want
+
+
+def test_images_are_rows_of_their_own(spark, tmp_path):
+    """Pixels are neither dealt out nor sorted: the plan of the pictures' queries has no shuffle by pixel, and odd pictures count as before."""
+    from millrace.operators import media
+
+    spark.range(1, 41).withColumnRenamed("id", "p_partkey").write.parquet(str(tmp_path / "part.parquet"))
+    for name in ("image_verdicts", "best_images"):
+        got, want = held(spark, ["part"], name, tmp_path)
+        assert got == want and want
+    plan = core.QUERIES["image_verdicts"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "Window" not in plan
+    pixels = [(i, 3, 2, x, y, 50 * x * i % 256, 20 * y, 10 * i) for i in (1, 2) for x in range(3) for y in range(2)][::-1]
+    table = spark.createDataFrame(pixels, "image_id int, width int, height int, x int, y int, r int, g int, b int")
+    whole = {r["image_id"]: r for r in media.image_stats(table).collect()}
+    media.PIECE, piece = 4, media.PIECE
+    try:
+        parts = {r["image_id"]: r for r in media.image_stats(table).collect()}
+    finally:
+        media.PIECE = piece
+    assert whole == parts and whole[1]["pixels"] == 6 and (whole[1]["texture"], whole[2]["texture"]) == (0, 1)
