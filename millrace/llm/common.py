@@ -69,12 +69,13 @@ def components(links: DataFrame, src: str = "a", dst: str = "b", max_rounds: int
         across = edges.join(lu, "u").join(lv, "v").where("lu <> lv")
         hook = across.groupBy(F.greatest("lu", "lv").alias("label")).agg(F.min(F.least("lu", "lv")).alias("to"))
         hook = materialise(hook)
-        moved = label.join(hook, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+        moved = label.join(hook, "label", "left").select("node", F.coalesce("to", "label").alias("label"), F.col("label").alias("was"))
         up = moved.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        moved = materialise(moved.join(up, "label", "left").select("node", F.coalesce("up", "label").alias("label")))
-        if hook.isEmpty() and moved.join(label, ["node", "label"], "left_anti").isEmpty():
+        # What a node's label was goes with it, so no further join tells whether any has changed.
+        moved = materialise(moved.join(up, "label", "left").select("node", F.coalesce("up", "label").alias("label"), "was"))
+        if hook.isEmpty() and moved.where("label <> was").isEmpty():
             return moved.select("node", F.col("label").alias("component"))
-        label = moved
+        label = moved.select("node", "label")
     raise RuntimeError("components did not settle")
 
 

@@ -278,17 +278,22 @@ def near_duplicates(
     shingled = materialise(packed_shingles(docs.join(bucket.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])))
 
     new = materialise(bucket.where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct())
-    links, tried = materialise(_verify(new, shingled, similarity)), new
+    links, tried, found = materialise(_verify(new, shingled, similarity)), new, None
     for nearest in (NEAREST, None):
-        found = components(links)
+        found = components(links) if found is None else found
         label = bucket.join(found, bucket["rep"] == found["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
         several = label.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo < hi")
         label = label.join(several.select("key", "n"), "key").join(reps.select("rep", "sketch"), "rep")
         new = materialise(_across(label, similarity, bands, rows, nearest).distinct().join(tried, ["a", "b"], "left_anti"))
         if new.isEmpty():
             continue
-        links, tried = materialise(links.union(_verify(new, shingled, similarity))), tried.union(new)
-    found = components(links)
+        more = materialise(_verify(new, shingled, similarity))
+        if not more.isEmpty():
+            # Members of a class are linked to its id only: what was settled isn't worked out again.
+            links, tried, found = materialise(found.select(F.col("component").alias("a"), F.col("node").alias("b")).where("a <> b").union(more)), tried.union(new), None
+        else:
+            tried = tried.union(new)
+    found = components(links) if found is None else found
     classed = reps.join(found, reps["rep"] == found["node"], "left").select("tkey", F.coalesce("component", "rep").alias("class_id"))
     # An id that carries several texts is one document: its classes are one.
     ids = signed.select("doc_id", "tkey").join(classed, "tkey").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
