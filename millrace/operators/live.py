@@ -6,7 +6,9 @@ founds one; whatever joins keeps the cluster alive.  ``Tracker`` is that definit
 In a batch time is cut into chunks that are folded side by side.  A chunk starts from what the hours before it leave
 alive, found by replaying them; afterwards each chunk's start is compared with its predecessor's end.  Where they agree
 the result is the fold's, exactly.  Chunks that differ (a campaign older than what was replayed) are folded again from
-their predecessor's end, those in a row by one task, until all agree.  What a task holds are the clusters alive at once.
+their predecessor's end, and on from there to the end of their strand or until what was found before holds again.  All
+strands are folded side by side; each round doubles their length, so rounds are as few as the logarithm of the number of
+chunks, and one campaign that outlives everything costs one fold by one task.  What a task holds are the clusters alive at once.
 """
 
 from __future__ import annotations
@@ -38,14 +40,36 @@ class Life:
     #: Length of a chunk and of what is replayed before it, in lives.
     chunk: int = 24
     replay: int = 4
+    #: Chunks that are folded again in a row, at first.
+    strand: int = 8
 
     @property
     def micros(self) -> int:
         return self.seconds * 1_000_000
 
 
-#: Bitmaps are made anew for the clusters alive once so many trigrams have been seen.
+#: Bitmaps are made anew for the clusters alive once so many trigrams of other characters have been seen.
 _SEEN = 1 << 16
+#: Trigrams of Latin letters and digits have columns of their own, which need no look-up.
+_LATIN = np.full(128, 36, np.int64)
+_LATIN[48:58], _LATIN[97:123] = np.arange(10), np.arange(10, 36)
+_PLAIN = 36**3
+
+
+def _grams(key: str) -> tuple[int, int, set[str]]:
+    """Bitmap and number of a text's trigrams of Latin letters and digits, and its other ones; a shorter text is its own."""
+    if len(key) < 3:
+        return 0, 0, {key}
+    point = np.frombuffer(key.encode("utf-32-le", "surrogatepass"), "<u4")
+    of = _LATIN[np.minimum(point, 127)]
+    plain = (of[:-2] < 36) & (of[1:-1] < 36) & (of[2:] < 36)
+    flags = np.zeros(_PLAIN, np.uint8)
+    flags[((of[:-2] * 36 + of[1:-1]) * 36 + of[2:])[plain]] = 1
+    return _packed(flags), int(np.count_nonzero(flags)), {key[i : i + 3] for i in np.flatnonzero(~plain)}
+
+
+def _packed(flags: np.ndarray) -> int:
+    return int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
 
 
 class Tracker:
@@ -62,24 +86,26 @@ class Tracker:
         """Leader's text, last post's time and founder of each cluster, without those that are dead at ``at``."""
         return [(c[0], self.age[seq], seq) for seq, c in self.clusters.items() if at is None or self.age[seq] > at - self.life.micros]
 
-    def _bits(self, grams: set[str]) -> int:
-        found = [self.bit[g] for g in grams if g in self.bit]
+    def _bits(self, latin: int, others: set[str]) -> int:
+        found = [self.bit[g] for g in others if g in self.bit]
+        if not found:
+            return latin
         flags = np.zeros(len(self.bit) // 8 * 8 + 8, np.uint8)
         flags[found] = 1
-        return int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
+        return latin | _packed(flags) << _PLAIN
 
-    def _found(self, key: str, at: int, seq: int) -> None:
-        grams = {key[i : i + 3] for i in range(max(1, len(key) - 2))}
+    def _found(self, key: str, at: int, seq: int, grams: tuple[int, int, set[str]] | None = None) -> None:
+        latin, n, others = grams or _grams(key)
         if len(self.bit) > _SEEN:
             self.bit = {}
             for k, c in self.clusters.items():
-                own = {c[0][i : i + 3] for i in range(max(1, len(c[0]) - 2))}
+                theirs, _, own = _grams(c[0])
                 for g in own:
                     self.bit.setdefault(g, len(self.bit))
-                self.clusters[k] = (c[0], self._bits(own), c[2])
-        for g in grams:
+                self.clusters[k] = (c[0], self._bits(theirs, own), c[2])
+        for g in others:
             self.bit.setdefault(g, len(self.bit))
-        self.clusters[seq], self.age[seq] = (key, self._bits(grams), len(grams)), at
+        self.clusters[seq], self.age[seq] = (key, self._bits(latin, others), n + len(others)), at
 
     def _evict(self, at: int) -> None:
         dead = at - self.life.micros
@@ -99,10 +125,11 @@ class Tracker:
         leader = self.known.get(key, (None,))[0]
         likeness = 1.0
         if leader not in self.clusters:
-            leader, likeness = self._first(key)
+            grams = _grams(key)
+            leader, likeness = self._first(key, grams)
             if leader is None:
                 leader, likeness = seq, 1.0
-                self._found(key, at, seq)
+                self._found(key, at, seq, grams)
         elif self.clusters[leader][0] != key:
             likeness = self.known[key][2]
         self.age.pop(leader, None)
@@ -111,9 +138,9 @@ class Tracker:
         self.known[key] = (leader, at, likeness)
         return leader, likeness, len(self.clusters)
 
-    def _first(self, key: str) -> tuple[int | None, float]:
-        grams = {key[i : i + 3] for i in range(max(1, len(key) - 2))}
-        own, n, size = self._bits(grams), len(key), len(grams)
+    def _first(self, key: str, grams: tuple[int, int, set[str]]) -> tuple[int | None, float]:
+        latin, size, others = grams
+        own, n, size = self._bits(latin, others), len(key), size + len(others)
         for seq, (text, bits, theirs) in self.clusters.items():
             if 2 * min(n, len(text)) >= max(n, len(text)):
                 likeness = (own & bits).bit_count() / min(size, theirs)
@@ -142,12 +169,15 @@ def _digest(held: str) -> str:
 def _folds(rows: DataFrame, life: Life) -> DataFrame:
     """Posts' clusters (kind 0), and start and end of each chunk (kind 1), from rows dealt by scope and strand.
 
-    phase 0 brings what is alive at the start, 1 posts that are replayed, 2 the chunk's own.
+    phase 0 tells of a chunk that was folded before from which start (``was``), and brings what its predecessor leaves
+    (``held``) where that differs; 1 are posts that are replayed, 2 the chunk's own.  What was found before holds, and is
+    not given again, where the fold comes to the same start.
     """
     width = life.micros * life.chunk
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         strand = chunk = tracker = started = None
+        first = on = True
         out: list[tuple] = []
 
         def close() -> None:
@@ -156,14 +186,20 @@ def _folds(rows: DataFrame, life: Life) -> DataFrame:
                 out.append((1, strand[0], chunk, None, None, None, None, started, _digest(held), held))
 
         for b in batches:
-            for scope, s, c, phase, at, seq, key, held in zip(b["scope"], b["strand"], b["chunk"], b["phase"], b["at"], b["seq"], b["farm_key"], b["held"]):
+            for scope, s, c, phase, at, seq, key, held, was in zip(b["scope"], b["strand"], b["chunk"], b["phase"], b["at"], b["seq"], b["farm_key"], b["held"], b["was"]):
                 if (scope, s) != strand or c != chunk:
                     close()
                     if (scope, s) != strand:
-                        tracker = Tracker(life)
+                        tracker, first, on = Tracker(life), True, True
                     strand, chunk, started = (scope, s), c, None
                 if phase == 0:
-                    tracker = Tracker(life, json.loads(held))
+                    if on and not first:
+                        on = _digest(json.dumps(tracker.held(c * width))) != was
+                    elif on := held is not None:
+                        tracker = Tracker(life, json.loads(held))
+                    first = False
+                    continue
+                if not on:
                     continue
                 if phase == 2 and started is None:
                     started = _digest(json.dumps(tracker.held(c * width)))
@@ -189,24 +225,30 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 def memberships(rows: DataFrame, life: Life = Life()) -> DataFrame:
     """scope, seq, leader (the founder's seq), similarity, alive of each row of ``keyed``; posts are in order of at, then seq."""
     width, reach = life.micros * life.chunk, life.micros * life.replay
-    own = rows.select("scope", "seq", "at", "farm_key", F.floor(F.col("at") / width).alias("chunk")).withColumn("held", F.lit(None).cast("string"))
+    none = F.lit(None).cast("string")
+    own = rows.select("scope", "seq", "at", "farm_key", F.floor(F.col("at") / width).alias("chunk")).withColumns({"held": none, "was": none})
     replayed = own.where(F.col("at") >= (F.col("chunk") + 1) * width - reach).withColumns({"chunk": F.col("chunk") + 1, "phase": F.lit(1)})
     own = own.withColumn("phase", F.lit(2))
     # Chunks without posts of their own have no state; what they would pass on is dead, a chunk being longer than a life.
-    found = kept(_folds(own.unionByName(replayed).withColumn("strand", F.col("chunk")), life))
+    found, length = kept(_folds(own.unionByName(replayed).withColumn("strand", F.col("chunk")), life)), life.strand
     while True:
         states = found.where("kind = 1")
-        ends = states.select("scope", (F.col("chunk") + 1).alias("chunk"), F.col("ended").alias("before"), F.col("held").alias("given"))
-        apart = states.join(ends, ["scope", "chunk"], "left").where(F.col("started") != F.coalesce("before", F.lit(_digest("[]"))))
-        apart = kept(apart.select("scope", "chunk", F.coalesce("given", F.lit("[]")).alias("given")))
-        if apart.isEmpty():
+        ends = states.select("scope", (F.col("chunk") + 1).alias("chunk"), F.col("ended").alias("before"))
+        # Only digests are compared, so what is joined is small.
+        both = states.select("scope", "chunk", F.col("started").alias("was")).join(ends, ["scope", "chunk"], "left")
+        both = kept(both.select("scope", "chunk", "was", (F.col("was") != F.coalesce("before", F.lit(_digest("[]")))).alias("apart")))
+        if both.where("apart").isEmpty():
             return found.where("kind = 0").select("scope", "seq", "leader", "similarity", "alive")
-        # Chunks that follow one another are one strand, folded on from the first one's start.
-        strand = apart.withColumn("strand", F.col("chunk") - F.row_number().over(Window.partitionBy("scope").orderBy("chunk")))
-        first = F.row_number().over(Window.partitionBy("scope", "strand").orderBy("chunk")) == 1
-        given = strand.withColumn("first", first).where("first").select("scope", F.lit(0).cast("long").alias("seq"), F.lit(0).cast("long").alias("at"), F.lit("").alias("farm_key"), "chunk", F.col("given").alias("held"), F.lit(0).alias("phase"), "strand")
-        again = own.join(strand.select("scope", "chunk", "strand"), ["scope", "chunk"])
-        found = kept(found.join(apart, ["scope", "chunk"], "left_anti").unionByName(_folds(again.unionByName(given), life)))
+        strand = F.floor(F.col("chunk") / length).alias("strand")
+        firsts = both.where("apart").groupBy("scope", strand).agg(F.min("chunk").alias("first"))
+        from_first = lambda df: df.withColumn("strand", strand).join(firsts, ["scope", "strand"]).where("chunk >= first").drop("first")  # noqa: E731,B023
+        # Texts of clusters alive are never broadcast.
+        given = states.select("scope", (F.col("chunk") + 1).alias("chunk"), F.col("held").alias("given")).hint("merge")
+        given = from_first(both).join(given, ["scope", "chunk"], "left").withColumn("held", F.when(F.col("apart"), F.coalesce("given", F.lit("[]")))).drop("given", "apart")
+        given = given.withColumns({"seq": F.lit(0).cast("long"), "at": F.lit(0).cast("long"), "farm_key": F.lit(""), "phase": F.lit(0)})
+        again = kept(_folds(from_first(own).unionByName(given), life))
+        found = kept(found.join(again.where("kind = 1").select("scope", "chunk"), ["scope", "chunk"], "left_anti").unionByName(again))
+        length *= 2
 
 
 def accounts_of(rows: DataFrame, members: DataFrame) -> DataFrame:

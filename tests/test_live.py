@@ -95,6 +95,33 @@ def test_clusters_are_the_fold(spark, case, life):
     assert shown == last
 
 
+def test_campaigns_that_overlap_for_ever_are_folded_by_many_tasks(spark, monkeypatch):
+    """A campaign of six hours begins every four, so every chunk's start differs: strands are short, rounds are few."""
+    texts = ["".join(random.Random(k).choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20)) for k in range(16)]
+    rows = [(k * 100 + i, k * 100 + i, "ab"[i % 2], t, T0 + timedelta(hours=4 * k, minutes=20 * i), "") for k, t in enumerate(texts) for i in range(18)]
+    life, dealt, whole = live.Life(chunk=2, replay=1), [], live._folds
+
+    def seen(given, life):
+        own = given.where("phase = 2")
+        dealt.append((own.select("scope", "strand").distinct().count(), own.count()))
+        return whole(given, life)
+
+    monkeypatch.setattr(live, "_folds", seen)
+    keyed = live.keyed(spark.createDataFrame(rows, POSTS))
+    got = {r["seq"]: (r["leader"], r["alive"]) for r in live.memberships(keyed, life).collect()}
+    assert got == {seq: (v[0], v[2]) for (_, seq), v in fold(plain(rows, False), life).items()}
+    assert dealt[1][0] >= 8, "all that differs was one task's"
+    assert len(dealt) <= 5
+
+
+def test_trigrams_of_other_characters_count():
+    for a, b in [("abc约炮吗xyz", "abc约炮吗xyq"), ("ab", "ab"), ("ab", "abc"), ("日", "日本"), ("abcdefé1", "abcdefé2"), ("aaaa", "aaa"), ("日本語日本語ab", "日本語ab")]:
+        tracker = live.Tracker(live.Life(similarity=0.01))
+        tracker.record(0, 1, a)
+        want = similarity(a, b)
+        assert tracker.record(1, 2, b)[:2] == ((1, want) if want >= 0.01 else (2, 1.0)), (a, b)
+
+
 def test_the_cap_is_met():
     rows = timeline(*FULL)
     assert max(v[2] for v in fold(plain(rows), live.Life()).values()) > 300, "the first case must evict"
