@@ -3,11 +3,13 @@
 Many voters vote toxic, clean or nothing on a document: lexicons of insults written down here, one for each theme and
 language; families of word stems proposed on labelled training rows, in whatever language (a stem that toxic documents
 hold far more often than others joins the voter of its beginning, so that related words speak as one); and patterns of
-shouting, stress and plain length.  A generative label model estimates, without labels, how each voter votes in each
-class and which voters depend on each other: given the class, votes form a tree in which each depends on one other
-(the tree of largest conditional mutual information), and expectation maximisation over the counts of vote patterns
-fits tree and tables together.  A linear classifier is trained on the model's posteriors and scores every document,
-also those on which no voter speaks.
+shouting, stress and plain length.  A generative label model estimates how each voter votes in each class and which
+voters depend on each other: given the class, votes form a tree in which each depends on one other (the tree of
+largest conditional mutual information), and expectation maximisation over the counts of vote patterns fits tree and
+tables together.  The labels anchor it: half of a pattern's class mass is what its rows' labels say, half what the
+model says.  By likelihood alone the classes of a large sample are whatever splits the votes best, such as the language
+of the insults.  A linear classifier is trained on the model's posteriors and scores every document, also those on
+which no voter speaks.
 
 Fitting reads at most ``FIT_ROWS`` labelled rows (a documented bound, which also bounds the stems); every document is
 scored over its whole text.
@@ -31,7 +33,8 @@ from millrace.llm import words as W
 from millrace.llm.common import held_out, id_text, labelled_sample, table
 
 FIT_ROWS, SLICE = 20_000, 4 << 20
-#: A stem enters the lexicon with this many documents, and this share of them toxic (smoothed).
+#: A stem enters the lexicon with this many documents of different texts, and this share of them toxic (smoothed), if chance
+#: would bring so many toxic ones together for less than one stem of all that are tried.
 LEAST_DOCS, LEAST_SHARE, FAMILIES, PREFIXES = 5, 0.9, 4, (4, 5, 6, 7, 8)
 #: Insults by theme and language, whole words.
 THEMES = (
@@ -192,14 +195,15 @@ def _tree(joint: list[np.ndarray], least: float) -> np.ndarray:
     return parent
 
 
-def fit_label_model(patterns: np.ndarray, counts: np.ndarray, share: float, rounds: int = 50) -> LabelModel:
-    """EM over distinct vote patterns and their counts; starts from the majority vote; posteriors are held to the class's share."""
+def fit_label_model(patterns: np.ndarray, counts: np.ndarray, share: float, known: np.ndarray, rounds: int = 50) -> LabelModel:
+    """EM over distinct vote patterns, their counts and the share of label 1 among each one's rows, where it starts and which
+    keeps half of the mass; posteriors are held to the class's share."""
     voters = patterns.shape[1]
     onehot = np.stack([patterns == k for k in (-1, 0, 1)], axis=2).reshape(len(patterns), -1).astype(float)
-    start = np.sign(patterns.sum(1) + 0.5)
-    p = np.where((patterns > 0).any(1) & (start > 0), 0.9, np.where((patterns > 0).any(1), 0.3, share / 10))
+    p = known
     for _ in range(rounds):
-        joint = [(onehot.T @ (onehot * (q * counts)[:, None])).reshape(voters, 3, voters, 3) for q in (1 - p, p)]
+        mass = (p + known) / 2
+        joint = [(onehot.T @ (onehot * (q * counts)[:, None])).reshape(voters, 3, voters, 3) for q in (1 - mass, mass)]
         parent = _tree(joint, 6.0)
         ratio = np.zeros((voters, 3, 3))
         for j, pa_ in enumerate(parent):
@@ -263,7 +267,10 @@ class ToxicityModel:
 
 
 def _mine(sample: DataFrame, share: float) -> Lexicon:
-    """Documents of each class that hold a stem, counted in Spark; the stems that toxic documents hold far more often."""
+    """Documents of each class that hold a stem, counted in Spark; the stems that toxic documents hold far more often.
+
+    Copies of a text count once: all their words go together, whatever they mean.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -285,10 +292,16 @@ def _mine(sample: DataFrame, share: float) -> Lexicon:
                         ["kind", "key", "family", "toxic", "docs"],
                     )
 
-    counted = sample.mapInArrow(run, "kind int, key long, family int, toxic long, docs long").groupBy("kind", "key").agg(F.max("family").alias("family"), F.sum("toxic").alias("toxic"), F.sum("docs").alias("docs"))
+    once = sample.groupBy("text").agg(F.max("y").alias("y"))
+    counted = once.mapInArrow(run, "kind int, key long, family int, toxic long, docs long").groupBy("kind", "key").agg(F.max("family").alias("family"), F.sum("toxic").alias("toxic"), F.sum("docs").alias("docs"))
     smooth = (F.col("toxic") + 0.5 * share) / (F.col("docs") + 0.5)
     # Stems in LEAST_DOCS of the sample's documents at least: their number is bounded by the sample's words.
-    top = counted.where((F.col("toxic") >= LEAST_DOCS) & (smooth >= LEAST_SHARE)).toPandas()
+    tried = counted.agg(F.sum(F.when(F.col("docs") >= LEAST_DOCS, 1).otherwise(0)).alias("tried"))
+    top = counted.where((F.col("toxic") >= LEAST_DOCS) & (smooth >= LEAST_SHARE)).crossJoin(F.broadcast(tried)).toPandas()
+    q = top["toxic"].to_numpy() / top["docs"].to_numpy()
+    # Chernoff's bound on so many toxic documents at the sample's share.
+    chance = top["docs"].to_numpy() * (q * np.log(q / share) + (1 - q) * np.log(np.maximum(1 - q, 1e-9) / (1 - share)))
+    top = top[chance >= np.log(np.maximum(top["tried"].to_numpy(float), 1))]
     order = np.argsort(key := top["key"].to_numpy(np.int64).view(np.uint64))
     voter = top["kind"].to_numpy(np.int64) * FAMILIES + top["family"].to_numpy(np.int64)
     p = (top["toxic"].to_numpy() + 0.5 * share) / (top["docs"].to_numpy() + 0.5)
@@ -309,12 +322,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = evidence(b.column("text"), lexicon)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
-    rows = sample.select("doc_id", "text").mapInArrow(run, "doc_id long, x array<double>").toPandas().sort_values("doc_id", kind="stable")
+    rows = sample.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, x array<double>").toPandas().sort_values(["doc_id", "y"], kind="stable")
     x = np.vstack(rows["x"].to_list())
     patterns, which, counts = np.unique(votes(x), axis=0, return_inverse=True, return_counts=True)
-    model = fit_label_model(patterns, counts, share)
+    known = np.bincount(which.ravel(), weights=rows["y"].to_numpy(), minlength=len(patterns)) / counts
+    model = fit_label_model(patterns, counts, share, known)
     return ToxicityModel(share, lexicon, model, *fit_linear(linear_features(x), model.posterior(patterns)[which.ravel()]))
 
 
