@@ -194,3 +194,17 @@ def test_settings():
 
     s = read_settings({"thresholds": {"hide_confidence": 5, "block_confidence": 0.6, "unknown": 1, "block": "x"}, "off": ["scam", "nothing"], "folding": {"mode": "odd", "window": -3}})
     assert s.thresholds.hide_confidence == 0.6 and s.thresholds.block == 0.9 and s.off == ("scam",) and s.folding.mode == "fold" and s.folding.window == 0
+
+
+def test_phrases_far_from_each_other_in_long_texts(spark):
+    """Phrases with ideographs are looked for around ideographs only: what stands between them still counts as far as it did."""
+    far = "one two three four. " * 40
+    texts = {
+        0: (far + "约炮" + far, {"zh_solicit_jiaofu"}), 1: (far + "约 啪" + far, {"zh_solicit_jiaofu"}), 2: (far + "嗯" + far + "代收USDT" + far, {"zh_scam_finance"}), 3: ("玩归玩" + "x" * 16 + "福利给你" + far, {"zh_meme_fuli"}),
+        4: ("玩归玩" + "x" * 17 + "福利给你" + far, set()), 5: ("玩归玩" + far + "福利给你", set()), 6: (far + "嗯" + far + "vx: abcd1234", {"zh_contact"}), 7: (far + "微信 : ab1_" + far, {"zh_contact"}), 8: (far + "微信" + far, set()),
+        9: ("约" + far + "炮", set()), 10: (far + "come to my nsfw page" + far + "嗯", {"en_nsfw"}), 11: (far, set()),
+    }
+    rows = spark.createDataFrame([(i, "ann", t) for i, (t, _) in texts.items()], "id long, handle string, text string")
+    got = {r["id"]: {h["id"] for h in r["found"]} for r in prescreen.prescreen(rows).collect()}
+    assert got == {i: want for i, (_, want) in texts.items()}
+    assert all(len(run) <= prescreen.EDGE for r in prescreen.RULES for w in r.literals if prescreen.IDEOGRAPH.search(w) for run in prescreen.IDEOGRAPH.split(w))

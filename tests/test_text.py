@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,3 +56,21 @@ def test_import_shapes(spark):
     texts = ['["@A", "b"]', '[{"handle": "C"}]', '{"entries": [{"handle": "https://x.com/d"}]}', "e\nf,bad-one"]
     got = {r["handle"] for r in parse_list(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
     assert got == set("abcdef")
+
+
+def test_a_line_mark_at_the_end_goes_too(spark):
+    rows = [(i, t + mark) for i, (t, mark) in enumerate((t, m) for t in ("", "ea", "aé—", "约a") for m in "\u2028\u2029\u0085")]
+    got = spark.createDataFrame(rows, "i int, t string").select("i", T.dense_text(F.col("t")).alias("d")).collect()
+    assert {r["i"]: r["d"] for r in got} == {i: "".join(c for c in t if c in "ea约") for i, t in rows}
+
+
+def test_a_text_is_made_once_in_each_branch():
+    """Nothing within another function's arguments twice: such copies are worked out one by one inside arrays."""
+    assert str(T.normalize_nfkc(F.col("t"))).count("lower(") <= 2
+
+
+def test_white_space_runs(spark):
+    texts = ("a b", "a  b", "a\t\tb", "a \n b", "a\nb", "\n a", "é b", "é \t b", "é\u00a0b", "é \u00a0b", "é\u1680\u3000b", "é\u0085b", "é\u2003b", "é\x1cb")
+    want = {t: re.sub(r"[\t-\r \u0085\u00a0\u1680\u2003\u3000]+", " ", t).strip(" ") for t in texts}
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.normalize_text(F.col("t")).alias("n")).collect()
+    assert {r["t"]: r["n"] for r in got} == want
